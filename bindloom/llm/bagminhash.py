@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing, store
@@ -117,8 +117,9 @@ def text_keys(words: np.ndarray, at: np.ndarray, texts: pa.Array) -> tuple[np.nd
 
 
 def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """(key, k1, k2, weight, keys): words' sequence as two numbers, shingles, band keys."""
-    rows_in = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
+    """(key, hash, k1, k2, weight, keys): the text's hash, the words' sequence as two numbers, shingles,
+    band keys."""
+    rows_in = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
 
     def run(batches):
         for b in batches:
@@ -130,9 +131,9 @@ def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> Da
                 size = np.diff(where)
                 keys = band_keys(signatures(*hashing.multiset(h, where), bands * rows), bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1), pa.array(k2), pa.array(size), lists], names=["key", "k1", "k2", "weight", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(k1), pa.array(k2), pa.array(size), lists], names=["key", "hash", "k1", "k2", "weight", "keys"])
 
-    return rows_in.mapInArrow(run, "key long, k1 long, k2 long, weight long, keys array<long>")
+    return rows_in.mapInArrow(run, "key long, hash long, k1 long, k2 long, weight long, keys array<long>")
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -189,9 +190,9 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         lab = step.select("id", "label")
 
 
-def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: (key, class_id, class_size, is_first) of each row: the least key of
-    its class of near copies, rows in the class, and whether the row is the class's first. links:
+def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links). members: (key, hash, label, class_id, class_size) of each row: the least key of
+    its class of near copies and the rows in the class. links:
     (a_key, b_key, sim) between texts of different words that were found similar."""
     every = store.written(signed(docs, bands=bands, rows=rows, key=key, text=text), "signed")
     grouped = every.groupBy("k1", "k2").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
@@ -231,9 +232,31 @@ def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold:
     whole = texts.select("rid", "k1", "k2", "first", "copies").join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     whole = store.written(whole, "labelled")
     sizes = whole.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = whole.select("k1", "k2", "label").join(sizes, "label").select("k1", "k2", "class_id", "class_size")
-    members = every.select("key", "k1", "k2").join(named, ["k1", "k2"])
-    members = members.select(F.col("key").alias(key), "class_id", "class_size", F.col("key").eqNullSafe(F.col("class_id")).alias("is_first"))
+    named = whole.select("k1", "k2", "label").join(sizes, "label")
+    members = every.select("key", "hash", "k1", "k2").join(named, ["k1", "k2"]).select("key", "hash", "label", "class_id", "class_size")
     ends = texts.select("rid", "first")
     links = found.join(ends.select(F.col("rid").alias("a"), F.col("first").alias("a_key")), "a").join(ends.select(F.col("rid").alias("b"), F.col("first").alias("b_key")), "b").select("a_key", "b_key", "sim")
     return members, links
+
+
+def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, class_size, is_first) of each row: the least key of its class of near copies,
+    the rows in the class, and whether the row has that key."""
+    members = linked(docs, bands=bands, rows=rows, threshold=threshold, key=key, text=text)[0]
+    return members.select(F.col("key").alias(key), "class_id", "class_size", F.col("key").eqNullSafe(F.col("class_id")).alias("is_first"))
+
+
+def keep_first(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of near copies, as it is: the one with the least key, of equal keys the
+    one with the least hash of its text, of equal rows any one."""
+    members = store.written(linked(docs, bands=bands, rows=rows, threshold=threshold, key=key, text=text)[0], "members")
+    first = F.col("key").eqNullSafe(F.col("class_id"))
+    best = members.where(first).groupBy("label").agg(F.min("hash").alias("best"))
+    kept = store.written(members.join(best, "label").select("key", "hash", (first & F.col("hash").eqNullSafe(F.col("best"))).alias("kept")), "kept")
+    gone = store.written(kept.where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash")).distinct(), "dropped")
+    same = docs[key].cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text]) == F.col("__hash"))
+    out = docs.join(_held(gone), same, "left_anti")
+    if kept.where("kept").groupBy("key", "hash").count().where("count > 1").limit(1).count():
+        one = Window.partitionBy(docs[key], F.xxhash64(docs[text])).orderBy(F.lit(1))
+        out = out.withColumn("__n", F.row_number().over(one)).where(F.col("__n") == 1).drop("__n")
+    return out

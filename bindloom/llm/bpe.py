@@ -63,6 +63,17 @@ class Chunks:
         return table[at], np.concatenate([[0], ends])[self.offsets]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20):
+    """Consecutive parts of a batch with about ``size`` bytes of text each, so that what is worked
+    out for a part is bounded by that or by one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 

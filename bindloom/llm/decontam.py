@@ -112,16 +112,21 @@ def matches(index: Index, n: int, *, slop: int = 0) -> DataFrame:
     return lists.where(F.size("starts") > 0)
 
 
-def report(docs: DataFrame, items: DataFrame, *, n: int = 8, at_least: int = 2, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items_sha256, contaminated, and the columns ``keep``) of each
-    row: its words, those inside any occurrence of a window, and the items with occurring windows."""
+def _found(docs: DataFrame, items: DataFrame, n: int, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """((doc, hash, n_hit), (doc, hash, ids)): words inside windows, and sorted ids of the items, as strings."""
     index = build(docs, items, key=key, text=text, item_key=item_key, item_text=item_text)
     exact = matches(index, n).select("doc", "hash", "tid", F.expr("array_distinct(flatten(transform(starts, s -> sequence(s + diag, s + diag + n - 1))))").alias("hits"))
     exact = store.written(exact, "phrases")
     hits = exact.groupBy("doc", "hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
     named = exact.select("doc", "hash", "tid").distinct().join(_held(store.written(index.ids, "item-ids"), SMALL_ROWS), "tid")
-    named = named.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    rows = docs.select(*[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)], F.coalesce(docs[key].cast("long"), F.lit(0)).alias("doc"), F.xxhash64(docs[text], docs[key].isNull()).alias("hash"), docs[key].alias("key"), n_words(docs[text]).alias("n_words"))
+    return hits, named.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+
+
+def report(docs: DataFrame, items: DataFrame, *, n: int = 8, at_least: int = 2, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated) of each row: its words, those inside
+    any occurrence of a window, and the items with occurring windows."""
+    hits, named = _found(docs, items, n, key, text, item_key, item_text)
+    rows = document_key(docs, key, text).select("doc", "hash", "key", n_words(F.col("text")).alias("n_words"))
     both = rows.join(hits.join(named, ["doc", "hash"], "left"), ["doc", "hash"], "left")
     count = F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.size("ids")).cast("long")
     return both.select(
@@ -131,5 +136,12 @@ def report(docs: DataFrame, items: DataFrame, *, n: int = 8, at_least: int = 2,
         count.alias("n_items"),
         F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"),
         (count >= at_least).alias("contaminated"),
-        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep) if c != key],
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, *, n: int = 8, at_least: int = 2, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, as they are."""
+    named = _found(docs, items, n, key, text, item_key, item_text)[1]
+    bad = store.written(named.where(F.size("ids") >= at_least).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash")), "contaminated")
+    same = (F.coalesce(docs[key].cast("long"), F.lit(0)) == F.col("__doc")) & (F.xxhash64(docs[text], docs[key].isNull()) == F.col("__hash"))
+    return docs.join(_held(bad, SMALL_IDS), same, "left_anti")

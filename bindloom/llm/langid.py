@@ -180,14 +180,15 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
 
 def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lang_pred, score, ambiguous, and the columns ``keep``) of each row. One narrow stage."""
-    rows = docs.select(docs[text].alias("__text"), docs[key].alias(key), *[docs[c] for c in keep if c != key])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    out = list(dict.fromkeys([key, *keep]))
+    rows = docs.select(*[docs[c] for c in dict.fromkeys([*out, text])])
+    kinds, at = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out), rows.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
 
     def run(batches):
         for b in batches:
-            lang, score, unsure = sent.value.predict(b.column(0))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*b.schema.names[1:], "lang_pred", "score", "ambiguous"])
+            lang, score, unsure = sent.value.predict(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*out, "lang_pred", "score", "ambiguous"])
 
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
 

@@ -173,12 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, score, and the columns ``keep``) of each row. One narrow stage."""
-    rows = docs.select(docs[text].alias("__text"), docs[key].alias(key), *[docs[c] for c in keep if c != key])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    out = list(dict.fromkeys([key, *keep]))
+    rows = docs.select(*[docs[c] for c in dict.fromkeys([*out, text])])
+    kinds, at = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out), rows.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sent.value.scores(_blocks(b.column(0))))], names=[*b.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(sent.value.scores(_blocks(b.column(at))))], names=[*out, "score"])
 
     return rows.mapInArrow(run, f"{kinds}, score double")

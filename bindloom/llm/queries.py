@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe_codec, decontam, langid, license_scan, quality, store, token_counts, token_store
+from . import bagminhash, bpe_codec, decontam, langid, license_scan, quality, spotsigs, store, token_counts, token_store, warc
 
 #: Tokens above which a text is over the limit, and the id that ends a document in the token store.
 TOKEN_LIMIT, END_ID = 2048, 2
@@ -62,12 +62,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.scratch(spark, "packages")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=WINDOW, at_least=ITEMS)
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.classes(table(spark, sf_dir, "documents"))[0]
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = r"""
@@ -90,6 +100,8 @@ def queries():
         "op3_token_store": op3_token_store,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_language_id": op5_language_id,
+        "op6_warc": op6_warc,
+        "op7_spotsigs": op7_spotsigs,
         "op8_decontaminate": op8_decontaminate,
         "op9_quality": op9_quality,
         "op10_bagminhash": op10_bagminhash,
@@ -97,4 +109,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "op8_decontaminate": OP8_SQL}
+    return {"op2_license_scan": license_scan.oracle(), "op6_warc": warc.oracle(), "op8_decontaminate": OP8_SQL}

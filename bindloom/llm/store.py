@@ -84,7 +84,7 @@ def write_blobs(df: DataFrame, column: str, path: str) -> None:
 
 def blobs(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of the files that ``write_blobs`` wrote, one file a partition or so."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length", "content").where("length > 0")
 
 
 def id_ranges(df: DataFrame, key: str, per_range: int, most: int = 100_000) -> list[int]:
