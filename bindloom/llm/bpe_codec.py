@@ -215,7 +215,7 @@ def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """(word, n) over all documents; counts are summed within each batch before the shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 0)):
             split, odd = bpe.spaced_split(b.column(0))
             counts: Counter = Counter()
             for c, n in zip(split.distinct, np.bincount(split.codes, minlength=len(split.distinct)).tolist(), strict=True):
@@ -229,9 +229,14 @@ def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Compile the ``words`` most frequent words of all documents and ship the file to every node;
-    returns its name there. At most ``words`` rows reach the driver."""
-    top = word_counts(docs, text=text).orderBy(F.desc("n"), "word").limit(words).collect()
+    """Compile the ``words`` most frequent words of all documents, or some fewer where counts tie, and
+    ship the file to every node; returns its name there. Words rarer than that never reach the driver."""
+    counts = store.written(word_counts(docs, text=text), "word-counts")
+    distinct = counts.count()
+    if distinct > words:
+        least = counts.agg(F.percentile_approx("n", 1 - words / distinct, 100_000).alias("n")).first()["n"]
+        counts = counts.where(F.col("n") > least)
+    top = counts.collect()
     m = bpe.merges(tokenizer)
     plain = [r["word"] for r in top if bpe.SPECIAL not in r["word"] and bpe.PLAIN.fullmatch(r["word"].strip(" \n") or "x")]
     data = Automaton.build({w.encode(): m.ids(bpe.spelled(w)) for w in plain if len(w) <= 200}).dump()
@@ -243,15 +248,15 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WOR
     return name
 
 
-def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256, and the columns ``keep``) of each whole text."""
+def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each whole text."""
     lexicon = compile_lexicon(docs, tokenizer, words=words, text=text)
-    rows = docs.select(docs[text].alias("text"), docs[key].alias(key), *[docs[c] for c in keep if c != key])
+    rows = docs.select(docs[text].alias("text"), docs[key].alias(key))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
     def run(batches):
         c = codec(tokenizer, lexicon)
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 0)):
             ids, at = c.encode(b.column(0))
             wide, texts = memoryview(ids.astype("<u4").tobytes()), c.decode(ids, at)
             each = [hashlib.sha256(wide[4 * i : 4 * j]).hexdigest() for i, j in zip(at, at[1:], strict=False)]
@@ -268,7 +273,7 @@ def encode(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, key:
 
     def run(batches):
         c = codec(tokenizer, lexicon)
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 1)):
             ids, at = c.encode(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=[key, "ids"])
 
