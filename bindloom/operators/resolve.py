@@ -171,9 +171,11 @@ def file_refs(bound: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def delta_names(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(name): bare names whose definitions changed: in one of two snapshots of the same files alone."""
-    a, b = (d.select("name", "node_type", "qualified_name", "file_path").distinct() for d in (before, after))
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).select("name").distinct()
+    """(name): bare names whose definitions changed between two snapshots: some definition, or how often it
+    occurs, differs."""
+    keys = ["name", "node_type", "language", "qualified_name", "file_path"]
+    both = before.select(*keys, F.lit(1).alias("k")).unionByName(after.select(*keys, F.lit(-1).alias("k")))
+    return both.groupBy(*keys).agg(F.sum("k").alias("k")).where("k <> 0").select("name").distinct()
 
 
 def incremental(bound: DataFrame, nodes: DataFrame, changed_files: DataFrame, changed_names: DataFrame, generation: int, facts: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import metrics, resolve, shapes, traverse
 from ..sources import projection
 from . import oracle as o
@@ -16,20 +17,53 @@ _registry: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 class Graph:
-    """The projected graph of a folder of tables; every frame is lazy."""
+    """The projected graph of a folder of tables, bound once: its tables are snapshots that all queries
+    of a session read, until a file of the folder changes."""
+
+    _known: dict[tuple, tuple[str, dict[str, DataFrame]]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.nodes = projection.nodes(spark, sf_dir)
-        self.refs = projection.references(spark, sf_dir)
-        self.contains = projection.contains(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        mark = storage.watermark(spark, *[f"{sf_dir}/{t}.parquet" for t in projection.TABLES])
+        known = self._known.get(key)
+        if known is None or known[0] != mark:
+            known = self._known[key] = (mark, {})
+        self._tables = known[1]
+
+    def held(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is written the first time that it is asked for."""
+        if name not in self._tables:
+            self._tables[name] = storage.snapshot(make(), name)
+        return self._tables[name]
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+    @property
+    def nodes(self) -> DataFrame:
+        return self.held("nodes", lambda: projection.nodes(self.spark, self.sf_dir))
+
+    @property
+    def refs(self) -> DataFrame:
+        return self.held("references", lambda: projection.references(self.spark, self.sf_dir))
+
+    @property
+    def contains(self) -> DataFrame:
+        return self.held("contains", lambda: projection.contains(self.spark, self.sf_dir))
 
     @property
     def bound(self) -> DataFrame:
-        return resolve.bindings(self.refs, self.nodes)
+        return self.held("bound", lambda: resolve.bindings(self.refs, self.nodes))
+
+    @property
+    def later(self) -> DataFrame:
+        """Definitions of the next generation."""
+        return self.held("later-nodes", lambda: _later(self.nodes))
+
+    @property
+    def later_bound(self) -> DataFrame:
+        return self.held("later-bound", lambda: resolve.bindings(self.refs, self.later))
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None):
@@ -41,13 +75,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import planning  # noqa: F401  registers the roadmap and landscape queries
+    from . import evidence, planning  # noqa: F401  these register their queries
 
     return {k: f for k, (f, _) in _registry.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import planning  # noqa: F401
+    from . import evidence, planning  # noqa: F401
 
     return {k: s for k, (_, s) in _registry.items() if s}
 
@@ -101,8 +135,8 @@ def hub_nodes(g: Graph) -> DataFrame:
     return metrics.hubs(g.nodes, g.refs)
 
 
-_COUPLING = """at AS (SELECT name, node_type, min(file_path) AS f FROM nodes WHERE node_type <> 'import' GROUP BY 1, 2),
-x AS (SELECT n.file_path AS a, at.f AS b FROM refs r JOIN nodes n ON n.node_id = r.from_id JOIN at ON at.name = r.to_name AND at.node_type = r.to_type WHERE n.file_path <> at.f),
+_COUPLING = """home AS (SELECT name, node_type, min(file_path) AS f FROM nodes WHERE node_type <> 'import' GROUP BY 1, 2),
+x AS (SELECT n.file_path AS a, home.f AS b FROM refs r JOIN nodes n ON n.node_id = r.from_id JOIN home ON home.name = r.to_name AND home.node_type = r.to_type WHERE n.file_path <> home.f),
 coupled AS (SELECT f.file_path, f.node_count, coalesce(i.c, 0) AS afferent, coalesce(u.c, 0) AS efferent FROM (SELECT file_path, count(*) AS node_count FROM nodes WHERE node_type <> 'import' GROUP BY 1) f
 LEFT JOIN (SELECT b, count(*) AS c FROM x GROUP BY 1) i ON i.b = f.file_path LEFT JOIN (SELECT a, count(*) AS c FROM x GROUP BY 1) u ON u.a = f.file_path)"""
 
@@ -257,34 +291,38 @@ def clone_groups(g: Graph) -> DataFrame:
 
 
 def _later(nodes: DataFrame) -> DataFrame:
-    """The next generation: every 17th part is gone, every 19th has a new name."""
-    part = F.col("node_id").startswith("P")
+    """The next generation: every 17th part is gone, every 19th has a new name, every tenth supplier has
+    moved to another module."""
+    part, supplier = F.col("node_id").startswith("P"), F.col("node_id").startswith("S")
     k = F.try_to_number(F.substring("node_id", 2, 20), F.lit("9999999999")).cast("long")
-    new = part & (k % 19 == 0)
+    new, moved = part & (k % 19 == 0), supplier & (k % 10 == 3)
     nodes = nodes.where(~(part & (k % 17 == 0)) | ~part)
-    return nodes.withColumn("qualified_name", F.when(new, F.concat("qualified_name", F.lit("_v2"))).otherwise(F.col("qualified_name"))).withColumn("name", F.when(new, F.concat("name", F.lit("_v2"))).otherwise(F.col("name")))
+    where = F.when(new, F.concat("qualified_name", F.lit("_v2"))).when(moved, F.concat(F.lit("moved::"), F.col("name"))).otherwise(F.col("qualified_name"))
+    return nodes.withColumn("qualified_name", where).withColumn("name", F.when(new, F.concat("name", F.lit("_v2"))).otherwise(F.col("name")))
 
 
-_SECOND = "CASE WHEN starts_with(node_id, 'P') THEN CAST(substr(node_id, 2) AS BIGINT) END"
-_LATER = f"""nodes2 AS (SELECT node_id, CASE WHEN k % 19 = 0 THEN name || '_v2' ELSE name END AS name, node_type, language, file_path, start_line, CASE WHEN k % 19 = 0 THEN qualified_name || '_v2' ELSE qualified_name END AS qualified_name
-FROM (SELECT *, {_SECOND} AS k FROM nodes) WHERE k IS NULL OR k % 17 <> 0)"""
+_LATER = """nodes2 AS (SELECT node_id, CASE WHEN p % 19 = 0 THEN name || '_v2' ELSE name END AS name, node_type, language, file_path, start_line, CASE WHEN p % 19 = 0 THEN qualified_name || '_v2' WHEN s % 10 = 3 THEN 'moved::' || name ELSE qualified_name END AS qualified_name
+FROM (SELECT *, CASE WHEN starts_with(node_id, 'P') THEN CAST(substr(node_id, 2) AS BIGINT) END AS p, CASE WHEN starts_with(node_id, 'S') THEN CAST(substr(node_id, 2) AS BIGINT) END AS s FROM nodes) WHERE p IS NULL OR p % 17 <> 0)"""
 
 
-def _twice() -> str:
-    """Both generations' shapes: all tables of the second under names of their own."""
+def _doubled(first: str) -> str:
+    """CTEs that begin with the graph, for both generations: all tables of the second under names of their own."""
     import re
 
-    second = o.SHAPES[len(o.GRAPH) :]
-    own = re.findall(r"(?:^|[,\n]\s*)(\w+) AS \(", o.SHAPES[len(o.GRAPH) :])
+    second = first[len(o.GRAPH) :]
+    own = re.findall(r"(?:^|[,\n]\s*)(\w+) AS \(", second)
     for name in {*own, "facts", "nodes"}:
         second = re.sub(rf"\b{name}\b(?!\.\w+ AS)(?!\()", f"{name}2", second)
-    return f"{o.SHAPES}, {_LATER}{second}"
+    return f"{first}, {_LATER}{second}"
+
+
+def _twice() -> str:
+    return _doubled(o.SHAPES)
 
 
 def _shifted(g: Graph) -> DataFrame:
     before = shapes.fingerprints(g.nodes, g.bound, g.contains).withColumn("generation", F.lit(1))
-    later = _later(g.nodes)
-    return shapes.next_generation(before, shapes.fingerprints(later, resolve.bindings(g.refs, later), g.contains), 2)
+    return shapes.next_generation(before, shapes.fingerprints(g.later, g.later_bound, g.contains), 2)
 
 
 _SHIFT = "shifted AS (SELECT coalesce(b.qualified_name, a.qualified_name) AS qualified_name, coalesce(b.file_path, a.file_path) AS file_path, coalesce(b.node_type, a.node_type) AS node_type, b.hash, coalesce(b.edge_count, 0) AS edge_count, coalesce(b.name_edge_count, 0) AS name_edge_count, CAST(2 AS BIGINT) AS generation, a.hash AS prev_hash, CASE WHEN a.hash IS NOT NULL THEN 1 END AS prev_generation FROM prints a FULL JOIN prints2 b ON a.qualified_name = b.qualified_name AND a.file_path = b.file_path)"

@@ -23,11 +23,11 @@ pool AS (SELECT e1.*, n.node_id AS tid,
     EXISTS (SELECT 1 FROM facts f WHERE f.file_path = sf AND starts_with(n.qualified_name, f.path || '::') AND NOT contains(substr(n.qualified_name, length(f.path) + 3), '::')) AS h4
   FROM e1 LEFT JOIN nodes n ON n.name = bare AND n.node_type = to_type AND {_FAMILY.format("n.language")} = fam),
 agg AS (SELECT edge_id, count(tid) AS np, {", ".join(f"count(*) FILTER (WHERE tid IS NOT NULL AND h{k}) AS n{k}, min(tid) FILTER (WHERE h{k}) AS t{k}" for k in "12m34")}, min(tid) AS t5 FROM pool GROUP BY edge_id),
-rule AS (SELECT e1.*, a.*,  e1.sf IN (SELECT file_path FROM facts) AS hf,
+rule AS (SELECT e1.*, a.* EXCLUDE (edge_id), imp IS NOT NULL AS hf,
     CASE WHEN sl IS NULL THEN 'r6' WHEN q AND n1 = 1 THEN 'r1' WHEN q AND n2 = 1 THEN 'r2' WHEN q AND sl = 'rust' AND rel <> norm AND nm = 1 THEN 'r2m' WHEN q THEN 'r6'
-         WHEN n3 = 1 THEN 'r3' WHEN hf AND n4 = 1 THEN 'r4' WHEN np = 1 THEN 'r5' ELSE 'r6' END AS rb,
+         WHEN n3 = 1 THEN 'r3' WHEN imp IS NOT NULL AND n4 = 1 THEN 'r4' WHEN np = 1 THEN 'r5' ELSE 'r6' END AS rb,
     CASE WHEN q THEN n1 + n2 ELSE np END AS ne
-  FROM e1 JOIN agg a USING (edge_id)),
+  FROM e1 JOIN agg a USING (edge_id) LEFT JOIN (SELECT DISTINCT file_path AS imp FROM facts) fi ON fi.imp = e1.sf),
 bound AS (SELECT edge_id, from_id, to_name, to_type, edge_type, sl, fam, norm, bare, q, n1, n2, nm, n3, n4, np, hf, rel,
     coalesce(CASE rb WHEN 'r1' THEN t1 WHEN 'r2' THEN t2 WHEN 'r2m' THEN tm WHEN 'r3' THEN t3 WHEN 'r4' THEN t4 WHEN 'r5' THEN t5 END, '') AS to_id, rb AS resolved_by,
     CASE WHEN sl IS NULL THEN 'orphan_source' WHEN rb <> 'r6' THEN 'bound' WHEN ne > 1 THEN 'ambiguous' WHEN np = 0 THEN 'no_candidates' ELSE 'no_rule_matched' END AS outcome,
