@@ -4,8 +4,9 @@ The index holds one posting (document, position, term) for each word of the corp
 item uses; it is written where the documents' tasks run, so nothing is shuffled to build it. Each
 window of consecutive item words is looked up from its rarest term in the corpus: that term's
 postings, less the term's place in the item, give the diagonals (document, item, offset) on which
-the window can lie. The lists of the other terms are then intersected on those diagonals alone,
-and what is consecutive there is an exact phrase; with a slop, a proximity match.
+the window can lie. The list of the second-rarest term is intersected first, which leaves few
+diagonals, then the lists of all others on those alone; what is consecutive there is an exact
+phrase; with a slop, a proximity match.
 
 DataFrame operations only: no Python runs on the executors.
 
@@ -85,22 +86,30 @@ def build(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     return Index(placed, ids, store.written(postings, "postings"))
 
 
-def diagonals(index: Index, n: int) -> DataFrame:
-    """(doc, hash, tid, diag): where the rarest term of any window of an item occurs."""
+def diagonals(index: Index, n: int, *, slop: int = 0) -> DataFrame:
+    """(doc, hash, tid, diag): where the rarest term of any window of an item occurs with the window's
+    second-rarest term in its place, give or take ``slop`` positions."""
     frequency = store.written(index.postings.groupBy("term_id").agg(F.count("*").alias("freq")), "term-counts")
     known = index.items.join(frequency, "term_id", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     ahead = Window.partitionBy("tid").orderBy("ip").rowsBetween(0, n - 1)
-    starts = known.withColumn("rarest", F.min(F.struct("freq", "ip", "term_id")).over(ahead)).where(F.col("ip") <= F.greatest(F.col("size") - n, F.lit(0)))
-    rare = starts.where("rarest.freq > 0").select("tid", "rarest.ip", "rarest.term_id").distinct()
-    rare = _held(store.written(rare, "rare-terms"), SMALL_ROWS)
-    found = index.postings.join(rare, "term_id").select("doc", "hash", "tid", (F.col("pos") - F.col("ip")).alias("diag"))
-    return store.written(found.distinct(), "diagonals")
+    starts = known.withColumn("o", F.array_sort(F.collect_list(F.struct("freq", "ip", "term_id")).over(ahead))).where(F.col("ip") <= F.greatest(F.col("size") - n, F.lit(0)))
+    rare = starts.select("tid", F.get("o", F.lit(0)).alias("one"), F.get("o", F.lit(1)).alias("two")).where("one.freq > 0")
+    rare = store.written(rare.select("tid", "one.ip", "one.term_id", (F.col("two.ip") - F.col("one.ip")).alias("gap"), F.col("two.term_id").alias("term2")).distinct(), "rare-terms")
+    found = index.postings.join(_held(rare, SMALL_ROWS), "term_id").select("doc", "hash", "tid", (F.col("pos") - F.col("ip")).alias("diag"), (F.col("pos") + F.col("gap")).alias("pos"), F.col("term2").alias("term_id"))
+    if slop:
+        found = found.withColumn("pos", F.explode_outer(F.when(F.col("pos").isNotNull(), F.expr(f"sequence(pos - {slop}, pos + {slop})"))))
+    next_terms = _held(store.written(rare.select(F.col("term2").alias("term_id")).where("term_id is not null").distinct(), "next-terms"), SMALL_ROWS)
+    second = index.postings.join(next_terms, "term_id", "left_semi")
+    both = found.where("term_id is not null").join(second, ["doc", "hash", "pos", "term_id"], "left_semi")
+    alone = found.where("term_id is null")  # an item of one word
+    keys = ["doc", "hash", "tid", "diag"]
+    return store.written(both.select(*keys).unionByName(alone.select(*keys)).distinct(), "diagonals")
 
 
 def matches(index: Index, n: int, *, slop: int = 0) -> DataFrame:
     """(doc, hash, tid, diag, n, starts, at): item places at which a window begins all of whose terms
     lie on the diagonal, no more than ``slop`` positions off it, and the item places of those terms."""
-    found = diagonals(index, n)
+    found = diagonals(index, n, slop=slop)
     docs = _held(store.written(found.select("doc", "hash").distinct(), "candidates"), SMALL_IDS)
     near = index.postings.join(docs, ["doc", "hash"], "left_semi")
     wanted = found.join(_held(index.items, SMALL_ROWS), "tid").select("doc", "hash", "tid", "diag", "ip", "term_id", "size", (F.col("diag") + F.col("ip")).alias("pos"))
@@ -117,6 +126,7 @@ def _found(docs: DataFrame, items: DataFrame, n: int, key: str, text: str, item_
     index = build(docs, items, key=key, text=text, item_key=item_key, item_text=item_text)
     exact = matches(index, n).select("doc", "hash", "tid", F.expr("array_distinct(flatten(transform(starts, s -> sequence(s + diag, s + diag + n - 1))))").alias("hits"))
     exact = store.written(exact, "phrases")
+    store.discard(index.postings)
     hits = exact.groupBy("doc", "hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
     named = exact.select("doc", "hash", "tid").distinct().join(_held(store.written(index.ids, "item-ids"), SMALL_ROWS), "tid")
     return hits, named.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))

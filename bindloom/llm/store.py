@@ -73,7 +73,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` returned and nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.shared_path)
 
 
 def write_blobs(df: DataFrame, column: str, path: str) -> None:
