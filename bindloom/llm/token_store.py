@@ -31,7 +31,7 @@ from . import bpe, store
 MAGIC = b"RVB1"
 HEADER = struct.Struct("<4sIQIQQ")
 #: Ids in a shard, and in a range of keys, about.
-SHARD_IDS, RANGE_IDS = 1 << 20, 1 << 24
+SHARD_IDS, RANGE_IDS = 1 << 20, 1 << 22
 
 #: Length of each of the four ids of a control byte; mask of an id of each length.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -70,7 +70,7 @@ def shard(part: int, before: int, keys: list, sizes: list[int], ranks: np.ndarra
     return b"".join([head, known, bytes(k is None for k in keys), np.array(sizes, "<u8").tobytes(), control, data])
 
 
-def shards(content: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.ndarray]]:
+def shards(content: memoryview) -> Iterator[tuple[int, int, list, np.ndarray, np.ndarray]]:
     """(range, ids of the range before, keys, sizes, ranks) of each shard of a file."""
     at = 0
     while at < len(content):
@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, *, key: str = "doc_id", t
 
     def run(batches):
         enc = bpe.word_chunks(tokenizer)
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 1, 4 << 20)):
             ids, at = enc.encode(b.column(1))
             ids = np.insert(ids, at[1:], end)
             at = at + np.arange(len(at))
@@ -177,7 +177,7 @@ def read_stats(spark: SparkSession, path: str, base: DataFrame, *, key: str = "d
         ids_of = np.frombuffer(sent.value, "<u4")
         for b in batches:
             for content in b.column(0):
-                for part, before, keys, sizes, ranks in shards(content.as_buffer().to_pybytes()):
+                for part, before, keys, sizes, ranks in shards(memoryview(content.as_buffer())):
                     raw, at = memoryview(ids_of[ranks].tobytes()), np.concatenate([[0], np.cumsum(sizes)])
                     crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at, at[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(at[:-1] + before), pa.array(sizes), pa.array(crc, pa.int64())], names=["part", "key", "at", "n_tokens", "ids_crc32"])
@@ -196,7 +196,7 @@ def read_ids(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFram
         ids_of = np.frombuffer(sent.value, "<u4")
         for b in batches:
             for content in b.column(0):
-                for _, _, keys, sizes, ranks in shards(content.as_buffer().to_pybytes()):
+                for _, _, keys, sizes, ranks in shards(memoryview(content.as_buffer())):
                     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(ids_of[ranks].astype(np.int32)))], names=[key, "ids"])
 
