@@ -41,9 +41,9 @@ GRAMS = 1 << 18
 
 
 def _texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts, lower-cased, each after a blank; where each text begins and the last one ends)."""
+    """(bytes of all texts, lower-cased, each between blanks; where each text begins and the last one ends)."""
     lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lower = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("  ", lower, "")])
+    lower = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("  ", lower, "  ", "")])
     lower = lower.combine_chunks() if isinstance(lower, pa.ChunkedArray) else lower
     at = np.frombuffer(lower.buffers()[1], np.int64, len(lower) + 1, lower.offset * 8)
     return np.frombuffer(lower.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
@@ -57,7 +57,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 def _blocks(data: np.ndarray, at: np.ndarray, size: int = 1 << 19):
     """(first text, grams, where each text's grams begin in them) over at most ``size`` bytes or so.
-    A text's first two bytes are blanks, so that no 3-gram spans two texts' letters."""
+    A text's first and last two bytes are blanks, so that its 3-grams with letters are its own."""
     for lo in range(0, len(data), size):
         hi = min(len(data), lo + size)
         g = _grams(data[max(0, lo - 2) : hi])
@@ -145,6 +145,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
                 n = np.zeros(GRAMS, np.int64)
                 for _, g, _ in _blocks(data, at):
                     n += np.bincount(g, minlength=GRAMS)
+                n[0] = 0  # blanks alone, some of them between texts
                 seen = np.flatnonzero(n)
                 out.append(pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], names=["lang", "gram", "n"]))
             yield from out
