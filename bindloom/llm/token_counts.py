@@ -11,8 +11,9 @@ Counts are those of the tokenizers library for the prefix taken as a text of its
 added special tokens; special strings inside texts count as the library treats them by default.
 
 Edge cases: null and empty texts have count 0 and cut 0; repeated rows are counted each; other
-columns of the input are ignored; very long unbroken chunks are counted whole by the library and
-their inner prefixes one by one when asked for.
+columns of the input are ignored; chunks with other than plain characters or special strings are the
+library's, their inner prefixes one by one when asked for. In such a chunk of over LADDER_CHARS code
+points the cut for a budget is found by bisection, and is the longest within NEAR_CHARS of there.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 CUT_SHORT = {"'re", "'ve", "'ll"}
 #: Entries of a worker's tables of prefix states and of chunk totals; at these sizes they start anew.
 STATES, TOTALS = 700_000, 1_000_000
-#: Longer words are left to the library.
+#: Longer words are counted whole by the library; their prefixes have states by place.
 LADDER_CHARS = 400
+#: Code points beyond the place found by bisection that are tried too, in long chunks of the library's.
+NEAR_CHARS = 64
 
 
 class PrefixCounts:
@@ -102,15 +105,36 @@ class PrefixCounts:
         raise ValueError(f"no encoding of {word!r}")
 
     def ladder(self, word: str) -> list[int]:
-        """Count of each prefix of a spelled word, each prefix as a whole word."""
-        return [self.whole(word[:k]) for k in range(1, len(word) + 1)]
+        """Count of each prefix of a spelled word, each prefix as a whole word. Long words keep their
+        states by place, not by prefix."""
+        if len(word) <= LADDER_CHARS:
+            return [self.whole(word[:k]) for k in range(1, len(word) + 1)]
+        inner, final, longest, fits = self.inner, self.final, self.longest, self.fits
+        line: list[tuple[str, int] | None] = [("", 0)]
+        out = []
+        for j in range(1, len(word) + 1):
+            places, state, n = range(max(0, j - longest), j), None, None
+            for i in places:
+                t = word[i:j]
+                if state is None and t in inner and line[i] is not None and fits(line[i][0], t, False):
+                    state = (t, line[i][1] + 1)
+                if n is None and t in final and line[i] is not None and fits(line[i][0], t, True):
+                    n = line[i][1] + 1
+            line.append(state)
+            out.append(n)
+        return out
 
     def exact(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
+    @staticmethod
+    def plain(chunk: str) -> bool:
+        """Whether the chunk's words can be counted here; others are the library's."""
+        return bpe.SPECIAL not in chunk and bpe.PLAIN.fullmatch(chunk) is not None
+
     def chunk(self, chunk: str) -> list[int]:
         """Count at each code point prefix of a chunk, from 0 code points on."""
-        if len(chunk) > LADDER_CHARS or bpe.SPECIAL in chunk or not bpe.PLAIN.fullmatch(chunk):
+        if not self.plain(chunk):
             return [self.exact(chunk[:k]) for k in range(len(chunk) + 1)]
         got, base = [0], 0
         for word in WORDS.findall(chunk.lower()):
@@ -128,7 +152,7 @@ class PrefixCounts:
 
     def count(self, chunk: str) -> int:
         """Count of a whole chunk."""
-        if len(chunk) > LADDER_CHARS or bpe.SPECIAL in chunk or not bpe.PLAIN.fullmatch(chunk):
+        if len(chunk) > LADDER_CHARS or not self.plain(chunk):
             return self.exact(chunk)
         return sum([self.whole(w if w.isascii() else bpe.spelled(w)) for w in WORDS.findall(chunk.lower())])
 
@@ -168,8 +192,17 @@ class PrefixCounts:
         chunks, total = self.chunks(text), self.totals
         before = [0, *accumulate(total[c] if c in total else self.count(c) for c in chunks)]
         last = bisect_right(before, budget, hi=len(chunks)) - 1
-        at, steps = sum(map(len, chunks[:last])) + last, self.chunk(chunks[last])
-        return at + max(k for k, n in enumerate(steps) if before[last] + n <= budget)
+        return sum(map(len, chunks[:last])) + last + self.cut_in(chunks[last], budget - before[last])
+
+    def cut_in(self, chunk: str, room: int) -> int:
+        """Code points of a chunk's longest prefix of at most ``room`` tokens. No token is longer than
+        ``longest``, so only as much of the chunk counts as ``room`` of them could hold."""
+        if self.plain(chunk):
+            return max(k for k, n in enumerate(self.chunk(chunk[: room * self.longest + 1])) if n <= room)
+        if len(chunk) <= LADDER_CHARS:
+            return max(k for k, n in enumerate(self.chunk(chunk)) if n <= room)
+        low = bisect_right(range(len(chunk) + 1), room, key=lambda k: self.exact(chunk[:k])) - 1
+        return max(k for k in range(low, min(len(chunk), low + NEAR_CHARS) + 1) if k == low or self.exact(chunk[:k]) <= room)
 
 
 @lru_cache(maxsize=2)
