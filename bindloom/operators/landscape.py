@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import names
 from .resolve import located
 
@@ -33,23 +34,29 @@ def depth_of(name: Column) -> Column:
 
 
 def partition(files: DataFrame, *, max_share: float = 0.25, depth_cap: int = 3, min_files: int = 2) -> DataFrame:
-    """(file_path, subsystem) of distinct ``files`` (file_path)."""
+    """(file_path, subsystem) of distinct ``files`` (file_path).
+
+    A file's subsystem depends on its first ``depth_cap`` directories and on whether it lies deeper, so the
+    rounds work on counts of those places, one row each, and files meet the outcome in one join."""
     f = files.select("file_path").distinct().withColumn("dirs", folders(F.col("file_path")))
-    f = f.withColumn("subsystem", prefix(F.col("dirs"), 1))
+    f = f.select("file_path", F.array_join(F.slice("dirs", F.lit(1), F.lit(depth_cap)), "/").alias("place"), F.least(F.size("dirs"), F.lit(depth_cap + 1)).alias("deep"))
+    g = f.groupBy("place", "deep").agg(F.count("*").alias("n"))
+    dirs = F.when(F.col("deep") == 0, F.array().cast("array<string>")).otherwise(F.split("place", "/"))
+    g = storage.snapshot(g.withColumn("subsystem", prefix(dirs, 1)), "places")
+    total = g.agg(F.sum("n")).first()[0] or 0
+    depth = depth_of(F.col("subsystem"))
     for _ in range(depth_cap):
-        sizes = f.groupBy("subsystem").agg(F.count("*").alias("n"), F.max(F.size("dirs")).alias("deepest"))
-        total = f.agg(F.count("*").alias("total"))
-        depth = depth_of(F.col("subsystem"))
-        big = sizes.crossJoin(F.broadcast(total)).where((F.col("n") > F.lit(max_share) * F.col("total")) & (depth > 0) & (depth < depth_cap) & (F.col("deepest") > depth))
-        f = f.join(F.broadcast(big.select("subsystem", F.lit(True).alias("split"))), "subsystem", "left")  # under 1 / max_share rows
-        deeper = F.col("split") & (F.size("dirs") > depth)
-        f = f.select("file_path", "dirs", F.when(deeper, prefix(F.col("dirs"), depth + 1)).otherwise(F.col("subsystem")).alias("subsystem"))
+        sizes = g.groupBy("subsystem").agg(F.sum("n").alias("m"), F.max("deep").alias("deepest"))
+        big = sizes.where((F.col("m") > max_share * total) & (depth > 0) & (depth < depth_cap) & (F.col("deepest") > depth))
+        g = g.join(F.broadcast(big.select("subsystem", F.lit(True).alias("split"))), "subsystem", "left")  # under 1 / max_share rows
+        deeper = F.col("split") & (F.col("deep") > depth)
+        g = storage.snapshot(g.select("place", "deep", "n", F.when(deeper, prefix(dirs, depth + 1)).otherwise(F.col("subsystem")).alias("subsystem")), "places")
     for d in range(depth_cap, 1, -1):
-        sizes = f.groupBy("subsystem").agg(F.count("*").alias("n"))
-        small = sizes.where((depth_of(F.col("subsystem")) == d) & (F.col("n") < min_files)).withColumn("parent", F.regexp_replace("subsystem", "/[^/]*$", ""))
+        sizes = g.groupBy("subsystem").agg(F.sum("n").alias("m"))
+        small = sizes.where((depth == d) & (F.col("m") < min_files)).withColumn("parent", F.regexp_replace("subsystem", "/[^/]*$", ""))
         small = small.join(sizes.select(F.col("subsystem").alias("parent")), "parent", "left_semi").select("subsystem", "parent")
-        f = f.join(small, "subsystem", "left").select("file_path", "dirs", F.coalesce("parent", "subsystem").alias("subsystem"))
-    return f.select("file_path", "subsystem")
+        g = storage.snapshot(g.join(small, "subsystem", "left").select("place", "deep", "n", F.coalesce("parent", "subsystem").alias("subsystem")), "places")
+    return f.join(g.select("place", "deep", "subsystem"), ["place", "deep"]).select("file_path", "subsystem")
 
 
 def _between(bound: DataFrame, nodes: DataFrame, owner: DataFrame, file_refs: DataFrame | None = None) -> DataFrame:

@@ -306,13 +306,14 @@ FROM (SELECT *, CASE WHEN starts_with(node_id, 'P') THEN CAST(substr(node_id, 2)
 
 
 def _doubled(first: str) -> str:
-    """CTEs that begin with the graph, for both generations: all tables of the second under names of their own."""
+    """CTEs that begin with the graph, for both generations: all tables of the second under names of
+    their own; what is quoted is a value and stays."""
     import re
 
     second = first[len(o.GRAPH) :]
     own = re.findall(r"(?:^|[,\n]\s*)(\w+) AS \(", second)
     for name in {*own, "facts", "nodes"}:
-        second = re.sub(rf"\b{name}\b(?!\.\w+ AS)(?!\()", f"{name}2", second)
+        second = re.sub(rf"(?<!')\b{name}\b(?!\.\w+ AS)(?!\(|')", f"{name}2", second)
     return f"{first}, {_LATER}{second}"
 
 
