@@ -13,7 +13,9 @@ Pairs. Texts with equal words are one text from the start. Signatures are cut in
 band's bucket each text is compared with the bucket's first text, exactly, on the shingles
 themselves. Links form classes. Only in buckets that still hold several classes the remaining
 pairs of different classes are compared too, so that no link between classes is lost and yet large
-groups of copies never become all pairs.
+groups of copies never become all pairs. Of those, pairs are left out whose shingles cannot have
+enough in common: a sketch counts a text's shingles in bins, in unary, so that the common bits of two
+sketches are at least as many as their common shingles. That is a bound, not an estimate.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares a bucket with probability 1 - 5e-6.
 
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import hashing, store
+from . import bpe, hashing, store
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
 #: Rows of a written table up to which it is broadcast.
 SMALL_ROWS = 500_000
 #: Partners of one text that go to one task.
 PARTNERS = 512
+#: 64-bit numbers of a sketch, eight bins of eight bits in each.
+SKETCH = 16
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -122,7 +126,7 @@ def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> Da
     rows_in = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
 
     def run(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 1, 2 << 20)):
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 words, at = hashing.word_hashes(part.column(1))
@@ -136,6 +140,16 @@ def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> Da
     return rows_in.mapInArrow(run, "key long, hash long, k1 long, k2 long, weight long, keys array<long>")
 
 
+def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((texts, SKETCH) counts of shingles in bins as runs of up to eight bits; shingles beyond those)."""
+    n, bins = len(at) - 1, SKETCH * 8
+    doc = np.repeat(np.arange(n), np.diff(at))
+    count = np.bincount(doc * bins + (hashing.mixed(h) % np.uint64(bins)).astype(np.int64), minlength=n * bins)[: n * bins]
+    kept = np.minimum(count, 8)
+    unary = ((1 << kept) - 1).astype(np.uint8).reshape(n, bins)
+    return np.ascontiguousarray(unary).view("<i8"), (count - kept).reshape(n, bins).sum(axis=1)
+
+
 def _held(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
@@ -185,9 +199,11 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         step = lab.join(least, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = lab.select(F.col("id").alias("label"), F.col("label").alias("next"))
         step = store.written(step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        store.discard(lab)
         if not step.where("label <> old").limit(1).count():
+            store.discard(edges)
             return step.select("id", "label")
-        lab = step.select("id", "label")
+        lab = step
 
 
 def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -207,23 +223,33 @@ def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold:
     body = body.join(_held(wanted), F.col("key").eqNullSafe(F.col("first"))).select("rid", "k1", "k2", "text")
 
     def own(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 3, 2 << 20)):
             words, at = hashing.word_hashes(b.column(3))
             k1, k2 = text_keys(words, at, b.column(3))
             same = (k1 == b.column(1).to_numpy()) & (k2 == b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["rid", "text"]).filter(pa.array(same))
+            sketch, beyond = sketches(*hashing.shingle_hashes(words, at, SHINGLE))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(sketch.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), lists, pa.array(beyond)], names=["rid", "text", "sketch", "beyond"]).filter(pa.array(same))
 
-    body = store.written(body.mapInArrow(own, "rid long, text string").dropDuplicates(["rid"]), "wanted-texts")
+    body = store.written(body.mapInArrow(own, "rid long, text string, sketch array<long>, beyond long").dropDuplicates(["rid"]), "wanted-texts")
     found = store.written(similarity(pairs, body).where(F.col("sim") >= threshold), "links")
-    label = store.written(components(found), "classes")
+    label = components(found)
     mixed = store.written(crowded.join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "crowded")
-    spans = mixed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    rest = store.written(mixed.join(spans, "bucket").where("rid <> a"), "mixed")
+    spans = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1").select("bucket", "main")
+    rest = mixed.join(spans, "bucket").where("rid <> a").join(body.select("rid", "sketch", "beyond"), "rid")
+    rest = store.written(rest.select("bucket", "rid", "weight", "label", "main", "sketch", "beyond"), "mixed")
+    store.discard(crowded, mixed)
     if rest.limit(1).count():
-        x = rest.select("bucket", F.col("rid").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la"))
-        y = rest.select("bucket", F.col("rid").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
+        # all outside a bucket's largest class against all in the bucket
+        x = rest.where("label <> main").select("bucket", F.col("rid").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la"), F.col("sketch").alias("sa"), F.col("beyond").alias("ea"))
+        y = rest.select("bucket", "main", F.col("rid").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"), F.col("sketch").alias("sb"), F.col("beyond").alias("eb"))
+        once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("la") < F.col("lb")))
         close = F.least("wa", "wb") >= F.lit(threshold) * F.greatest("wa", "wb")
-        more = x.join(y, "bucket").where((F.col("la") < F.col("lb")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        common = F.least("ea", "eb")
+        for i in range(SKETCH):
+            common = common + F.bit_count(F.col("sa")[i].bitwiseAND(F.col("sb")[i]))
+        enough = common * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("wa") + F.col("wb")) - F.lit(1e-6)
+        more = x.join(y, "bucket").where(once & close & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = store.written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         extra = store.written(similarity(more, body).where(F.col("sim") >= threshold), "more-links")
         if extra.limit(1).count():
@@ -231,6 +257,7 @@ def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold:
             label = components(found)
     whole = texts.select("rid", "k1", "k2", "first", "copies").join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     whole = store.written(whole, "labelled")
+    store.discard(wanted, pairs, body, rest)
     sizes = whole.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     named = whole.select("k1", "k2", "label").join(sizes, "label")
     members = every.select("key", "hash", "k1", "k2").join(named, ["k1", "k2"]).select("key", "hash", "label", "class_id", "class_size")

@@ -26,7 +26,7 @@ LICENSES = [
 def tables(spark, messy, tmp_path_factory):
     """The messy rows and some licences as a folder of tables that DuckDB reads too."""
     folder = tmp_path_factory.mktemp("tables")
-    texts = [(r["doc_id"], r["text"], r["lang"]) for r in messy.select("doc_id", "text", "lang").collect()] + LICENSES
+    texts = [(r["doc_id"], r["text"], r["lang"]) for r in messy.where("doc_id is not null").select("doc_id", "text", "lang").collect()] + LICENSES  # SQL joins drop null ids
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     docs.coalesce(1).write.parquet(str(folder / "documents.parquet"))
     long = "one two three four five six seven eight nine ten"
@@ -91,6 +91,13 @@ def test_decontamination_on_odd_texts(spark, tables, con):
     assert differences(queries.op8_decontaminate(spark, tables), con, queries.OP8_SQL) == ""
 
 
+def test_null_ids_are_ids_of_their_own(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (0, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c"), (None, "b c")], "item_id long, text string")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.report(docs, items, n=2).collect()}
+    assert got == {(None, 3, 3, 1), (1, 3, 3, 1), (0, 1, 0, 0)}
+
+
 def test_clean_keeps_rows_as_they_are(spark, messy):
     items = spark.createDataFrame([(1, "cat sat on"), (2, "the mat it s"), (3, "zeta eta")], "item_id long, text string")
     kept = decontam.clean(messy, items, n=3, at_least=2)
@@ -216,6 +223,16 @@ def test_signatures_estimate_weighted_jaccard():
         assert abs((sig[0] == sig[1]).mean() - true) < 4 * np.sqrt(true * (1 - true) / 4096)
 
 
+def test_sketches_bound_what_is_common():
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 30, 200, 5000):
+        a, b = rng.integers(0, 300, size, dtype=np.uint64), rng.integers(0, 300, size, dtype=np.uint64)
+        s, beyond = bagminhash.sketches(np.concatenate([a, b]), np.array([0, size, 2 * size]))
+        bits = sum(int(x).bit_count() for x in (s[0] & s[1]).view(np.uint64)) + min(beyond)
+        assert bits >= sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+        assert sum(int(x).bit_count() for x in s[0].view(np.uint64)) + beyond[0] == size
+
+
 def test_a_large_class_keeps_links_to_others(spark):
     base = [f"w{i}" for i in range(60)]
     texts = []
