@@ -23,7 +23,7 @@ PLAIN = re.compile(r"[\x21-\x7e\xa1-įı-ɏ]+")
 #: A chunk with this may hold a special string, which the library must find.
 SPECIAL = "<|"
 #: Entries in a worker's cache; at this size it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 #: Longer chunks are encoded each time, not cached.
 CACHED_CHARS = 48
 
@@ -63,7 +63,7 @@ class Chunks:
         return table[at], np.concatenate([[0], ends])[self.offsets]
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20):
     """Consecutive parts of a batch with about ``size`` bytes of text each, so that what is worked
     out for a part is bounded by that or by one text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -158,23 +158,22 @@ class Merges:
         return [*word[:-1], word[-1] + self.suffix] if word else []
 
     def merge(self, parts: list[str]) -> list[str]:
-        """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
-        rank = self.rank.get
-        none = len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        """Merge the lowest-ranked adjacent pair, leftmost first, until none is left. Only the pairs beside
+        a merge get new ranks."""
+        rank, none = self.rank.get, len(self.rank)
+        parts = list(parts)
+        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
-            i, out, n = 0, [], len(parts)
-            while i < n:
-                if i < n - 1 and ranks[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
     def ids(self, word: str) -> list[int]:
