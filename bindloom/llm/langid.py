@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
+
 UNKNOWN = "und"
 #: Labelled texts that the weights of the decoding are fitted on, at most.
 FIT_ROWS = 4000
@@ -138,7 +140,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
     rows = labelled.where(labelled[lang].isNotNull() & labelled[text].isNotNull()).select(labelled[lang].alias("lang"), labelled[text].alias("text"), labelled[key].alias("key"))
 
     def count(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 1)):
             langs, out = np.array(b.column(0).to_pylist(), dtype=object), []
             for name in set(langs):
                 data, at = _texts(b.column(1).filter(pa.array(langs == name)))
@@ -166,7 +168,11 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
     for b in range(codes.shape[1]):
         table[:, b] = np.log(share[codes[:, b] > 0].mean(axis=0)) - np.log(share[codes[:, b] < 0].mean(axis=0))
     table[0] = 0  # no letter at all
-    sample = rows.orderBy(F.xxhash64("key"), "key").limit(fit_rows).select("lang", "text").toArrow()
+    # which rows is settled on keys alone, so that texts of no others are moved
+    place = F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("key"))
+    last = rows.select(place.alias("p")).orderBy("p").limit(fit_rows).agg(F.max("p").alias("p"))
+    near = rows.join(F.broadcast(last), place <= F.col("p"))
+    sample = near.orderBy(place).limit(fit_rows).select("lang", "text").toArrow()
     model = Model(languages, table, codes, np.ones(codes.shape[1]), np.full(codes.shape, 1 / codes.shape[1]))
     got, who = [], np.array(sample.column("lang").to_pylist(), dtype=object)
     for lo in range(0, sample.num_rows, 500):
@@ -187,7 +193,7 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
 
     def run(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, at)):
             lang, score, unsure = sent.value.predict(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*out, "lang_pred", "score", "ambiguous"])
 

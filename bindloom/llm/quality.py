@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
+
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 20_000
 #: Share of the pooled covariance and of the scaled identity in a class' covariance.
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(known), "key").select("y", "text")
 
     def run(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, 1)):
             x = _blocks(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -179,7 +181,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in (s for whole in batches for s in bpe.slices(whole, at)):
             yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(sent.value.scores(_blocks(b.column(at))))], names=[*out, "score"])
 
     return rows.mapInArrow(run, f"{kinds}, score double")
