@@ -40,14 +40,8 @@ class Project:
 
     def _write(self, name: str, df: DataFrame) -> None:
         """A result is written aside first: it may read the table that it replaces."""
-        held = storage.snapshot(df.withColumn("project_id", F.lit(self.project_id)), name)
-        if held.isEmpty():
-            p, fs = storage._file_system(self.spark, f"{self._path(name)}/project_id={self.project_id}")
-            fs.delete(p, True)
-            p, _ = storage._file_system(self.spark, self._path(name))
-            if fs.exists(p) and len(fs.listStatus(p)):
-                return
-        storage.replace(held, self._path(name), "project_id")
+        held = storage.snapshot(df, name)
+        held.write.mode("overwrite").parquet(f"{self._path(name)}/project_id={self.project_id}")
 
     def index(self, tree: DataFrame, *, tier: str = "balanced", force: bool = False) -> dict:
         """Bring the tables up to ``tree`` (as ``files.read_tree`` gives it). Unchanged files keep their rows;

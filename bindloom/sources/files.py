@@ -49,7 +49,7 @@ def read_tree(spark: SparkSession, root: str, languages: list[str] | None = None
         files = files.join(F.broadcast(spark.createDataFrame([(p,) for p in listed], "file_path string")), "file_path", "left_semi") if len(listed) < 100_000 else files.join(spark.createDataFrame([(p,) for p in listed], "file_path string"), "file_path", "left_semi")
     if languages:
         files = files.where(F.col("language").isin([x.lower() for x in languages]))
-    return files.select("file_path", "language", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("file_size"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("file_path", "language", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("file_size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def _literal(text: str) -> str:
