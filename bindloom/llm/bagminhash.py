@@ -126,7 +126,7 @@ def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> Da
     rows_in = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
 
     def run(batches):
-        for b in (s for whole in batches for s in bpe.slices(whole, 1, 2 << 20)):
+        for b in bpe.parts(batches, 1, 2 << 20):
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 words, at = hashing.word_hashes(part.column(1))
@@ -223,7 +223,7 @@ def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold:
     body = body.join(_held(wanted), F.col("key").eqNullSafe(F.col("first"))).select("rid", "k1", "k2", "text")
 
     def own(batches):
-        for b in (s for whole in batches for s in bpe.slices(whole, 3, 2 << 20)):
+        for b in bpe.parts(batches, 3, 2 << 20):
             words, at = hashing.word_hashes(b.column(3))
             k1, k2 = text_keys(words, at, b.column(3))
             same = (k1 == b.column(1).to_numpy()) & (k2 == b.column(2).to_numpy())

@@ -8,6 +8,7 @@ work is a dictionary lookup; what a cache has not seen is encoded exactly.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -74,6 +75,22 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20):
         lo = hi
 
 
+def released() -> None:
+    """Give back to the system what nothing holds any more: workers outlive their tasks, and an executor's
+    memory is theirs and the JVM's together."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
+def parts(batches, column: int, size: int = 4 << 20):
+    """``slices`` of all batches; after each batch unused memory is given back."""
+    for batch in batches:
+        yield from slices(batch, column, size)
+        released()
+
+
 def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 

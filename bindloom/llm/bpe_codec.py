@@ -215,7 +215,7 @@ def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """(word, n) over all documents; counts are summed within each batch before the shuffle."""
 
     def run(batches):
-        for b in (s for whole in batches for s in bpe.slices(whole, 0)):
+        for b in bpe.parts(batches, 0):
             split, odd = bpe.spaced_split(b.column(0))
             counts: Counter = Counter()
             for c, n in zip(split.distinct, np.bincount(split.codes, minlength=len(split.distinct)).tolist(), strict=True):
@@ -256,7 +256,7 @@ def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, k
 
     def run(batches):
         c = codec(tokenizer, lexicon)
-        for b in (s for whole in batches for s in bpe.slices(whole, 0)):
+        for b in bpe.parts(batches, 0):
             ids, at = c.encode(b.column(0))
             wide, texts = memoryview(ids.astype("<u4").tobytes()), c.decode(ids, at)
             each = [hashlib.sha256(wide[4 * i : 4 * j]).hexdigest() for i, j in zip(at, at[1:], strict=False)]
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, key:
 
     def run(batches):
         c = codec(tokenizer, lexicon)
-        for b in (s for whole in batches for s in bpe.slices(whole, 1)):
+        for b in bpe.parts(batches, 1):
             ids, at = c.encode(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=[key, "ids"])
 

@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(docs[key].alias(key), docs[text].alias("text"))
 
     def run(batches):
-        for b in (s for whole in batches for s in bpe.slices(whole, 1, 4 << 20)):
+        for b in bpe.parts(batches, 1, 4 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int64) for s in signatures(b.column(1))], pa.list_(pa.int64()))], names=[key, "signatures"])
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, signatures array<bigint>")
@@ -108,7 +108,7 @@ def compare_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         held = None  # (part, extra, key, text, signatures) whose next row is still to come
-        for b in (s for whole in batches for s in bpe.slices(whole, 4, 4 << 20)):
+        for b in bpe.parts(batches, 4, 4 << 20):
             signs = signatures(b.column(4))
             seq = ([held] if held else []) + list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), [t or "" for t in b.column(4).to_pylist()], signs, strict=True))
             held = seq[-1]

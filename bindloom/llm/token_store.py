@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, *, key: str = "doc_id", t
 
     def run(batches):
         enc = bpe.word_chunks(tokenizer)
-        for b in (s for whole in batches for s in bpe.slices(whole, 1, 4 << 20)):
+        for b in bpe.parts(batches, 1, 4 << 20):
             ids, at = enc.encode(b.column(1))
             ids = np.insert(ids, at[1:], end)
             at = at + np.arange(len(at))
