@@ -76,3 +76,11 @@ def test_other_columns_and_repeated_rows(spark, sf_dir, messy):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns
         docs = out
+
+
+def test_a_document_with_one_planted_passage_goes(spark, tmp_path):
+    item = [f"item{i}" for i in range(30)]
+    spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"other{i}" for i in range(30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [" ".join(["before", *item, "after"]), " ".join(["one", "window", *item[4:12], "only"]), " ".join(["seven", "words", *item[4:11], "only"]), "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ids(corpus_pipeline.clean(spark, docs, str(tmp_path))) == [2, 3]
