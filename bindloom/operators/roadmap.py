@@ -140,6 +140,14 @@ def touching(bound: DataFrame, nodes: DataFrame, target: str, disk: DataFrame |
     return best.select(*TOUCH, F.when(F.col("k") == 1, "bound").when(F.col("k") == 2, "candidate").otherwise("literal").alias("matched_by"))
 
 
+def shared_members(items: DataFrame, bound: DataFrame, status: str = "active") -> DataFrame:
+    """(to_id, item_id): each item of a status at each target that it shares with another, by touches of any
+    selector. All pairs of ``collisions`` and their counts follow from it; it grows with the touches."""
+    live = items.where(F.col("status") == status).select("item_id")
+    t = bound.where("confidence = 'RESOLVED'").join(live, "item_id", "left_semi").select("to_id", "item_id").distinct()
+    return t.join(shared_targets(items, bound, status).select("to_id"), "to_id", "left_semi")
+
+
 def shared_targets(items: DataFrame, bound: DataFrame, status: str = "active") -> DataFrame:
     """(to_id, n_items, first_item, last_item): what several items of a status touch. Grows with the touches."""
     live = items.where(F.col("status") == status).select("item_id")

@@ -92,6 +92,12 @@ def plan_collisions(g: Graph) -> DataFrame:
     return roadmap.collisions(p.items, p.bound, selectors=("file", "symbol"))
 
 
+@query(o.plain(f"{_PLAN}, {_LIVE}", "SELECT DISTINCT to_id, item_id FROM live WHERE to_id IN (SELECT to_id FROM live GROUP BY 1 HAVING count(DISTINCT item_id) > 1)"))
+def plan_collision_members(g: Graph) -> DataFrame:
+    p = Plan(g)
+    return roadmap.shared_members(p.items, p.bound)
+
+
 @query(o.plain(f"{_PLAN}, {_LIVE}", "SELECT to_id, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item, max(item_id) AS last_item FROM live GROUP BY 1 HAVING count(DISTINCT item_id) > 1"))
 def plan_shared_targets(g: Graph) -> DataFrame:
     p = Plan(g)

@@ -210,3 +210,17 @@ def test_roadmap_operators(make, spark):
     assert {(r["item_id"], r["matched_by"]) for r in roadmap.touching(bound, n, "twin").collect()} == {("one", "candidate"), ("two", "bound")}
     tally = {r["item_id"]: r for r in roadmap.tallies(items, bound).collect()}
     assert tally["one"]["unindexed"] == 1 and tally["two"]["selector_count"] == 6 and tally["two"]["unresolved"] == 4
+
+
+def test_registered_members_hold_collisions_by_globs_too(spark, sf_dir):
+    from bindloom.plans import catalog, planning
+
+    def pairs(df):
+        return {tuple(r) for r in df.collect()}
+
+    t = catalog.queries()["plan_collision_members"](spark, sf_dir)
+    a, b = t.withColumnRenamed("item_id", "item_a"), t.withColumnRenamed("item_id", "item_b")
+    got = pairs(a.join(b, "to_id").where("item_a < item_b").groupBy("item_a", "item_b").count())
+    p = planning.Plan(catalog.Graph(spark, sf_dir))
+    assert got == pairs(roadmap.collisions(p.items, p.bound))
+    assert got > set() and {x[:2] for x in got} > {x[:2] for x in pairs(catalog.queries()["plan_collisions"](spark, sf_dir))}
