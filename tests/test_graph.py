@@ -224,3 +224,19 @@ def test_registered_members_hold_collisions_by_globs_too(spark, sf_dir):
     p = planning.Plan(catalog.Graph(spark, sf_dir))
     assert got == pairs(roadmap.collisions(p.items, p.bound))
     assert got > set() and {x[:2] for x in got} > {x[:2] for x in pairs(catalog.queries()["plan_collisions"](spark, sf_dir))}
+
+
+def test_evidence_fails_when_an_inner_definition_is_replaced(ring, spark):
+    n, r, bound = ring
+    like = n.where("node_id = 't2'").drop("node_id")
+    n = n.unionByName(like.withColumn("node_id", F.lit("t1m"))).unionByName(like.withColumn("node_id", F.lit("t9")))
+    ask = spark.createDataFrame([("twin",)], "queried string")
+    bound = resolve.bindings(r, n).cache()
+    steps = explain.chains(bound, n, ask, 1).cache()
+    assert explain.verify(steps, bound, n).where("not ok").count() == 0
+    other = n.withColumn("node_id", F.when(F.col("node_id") == "t2", "t5").otherwise(F.col("node_id")))
+    failed = explain.verify(steps, resolve.bindings(r, other).cache(), other).where("not ok")
+    assert {"candidate_pool", "rule_application"} <= {x["fact"] for x in failed.collect()}
+    live = spark.createDataFrame([("S", "stale_reference", 1, "live_definitions", "twin")], "chain_id string, kind string, step int, fact string, subject string")
+    live = live.join(explain._derived(bound, n, live), ["fact", "subject"])
+    assert [x["ok"] for g in (n, other) for x in explain.verify(live, bound, g).collect()] == [True, False]
