@@ -10,12 +10,21 @@ their weighted Jaccard similarity, and only early points are ever made: their nu
 signature's length, hardly on the text's.
 
 Pairs. Texts with equal words are one text from the start. Signatures are cut into bands; within a
-band's bucket each text is compared with the bucket's first text, exactly, on the shingles
-themselves. Links form classes. Only in buckets that still hold several classes the remaining
-pairs of different classes are compared too, so that no link between classes is lost and yet large
-groups of copies never become all pairs. Of those, pairs are left out whose shingles cannot have
-enough in common: a sketch counts a text's shingles in bins, in unary, so that the common bits of two
-sketches are at least as many as their common shingles. That is a bound, not an estimate.
+band's bucket each text is compared with one of them, exactly, on the shingles themselves: the one that
+shares buckets with most others, so that the heart of a group meets all of it once. Links form classes.
+Only in buckets that still hold several classes the remaining pairs of different classes are looked at, so
+that no link between classes is lost and yet large groups of copies never become all pairs. Three bounds,
+none of them an estimate, rule out nearly all of these before any text is compared:
+
+* shingles that no other text in question has can be common to no pair. A text with too many of them has no
+  partner at all and leaves;
+* of two texts, neither can bring in more than its shingles that others have too;
+* a sketch counts a text's shingles in bins, in unary, so that the common bits of two sketches are at least
+  as many as their common shingles.
+
+What is left of pairs within one bucket costs a few machine instructions each and makes no row; only pairs
+that pass are compared. Their number can still grow with the square of a group in which hardly any two texts
+are within the threshold and nearly all are just below it.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares a bucket with probability 1 - 5e-6.
 
@@ -34,12 +43,15 @@ from pyspark.sql import functions as F
 from . import bpe, hashing, store
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
-#: Rows of a written table up to which it is broadcast.
-SMALL_ROWS = 500_000
+#: Bytes of a written table, at 16 for each of its columns, up to which it is broadcast.
+SMALL_BYTES = 32 << 20
 #: Partners of one text that go to one task.
 PARTNERS = 512
-#: 64-bit numbers of a sketch, eight bins of eight bits in each.
-SKETCH = 16
+#: 64-bit numbers of a sketch, 32 bins of two bits in each.
+SKETCH = 32
+#: Classes of at least so many texts, or of one in HEAVY_SHARE of all if that is more, meet their texts by
+#: broadcast: at most HEAVY_SHARE of them.
+HEAVY, HEAVY_SHARE = 1_000, 100_000
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -141,17 +153,30 @@ def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> Da
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((texts, SKETCH) counts of shingles in bins as runs of up to eight bits; shingles beyond those)."""
-    n, bins = len(at) - 1, SKETCH * 8
+    """((texts, SKETCH) counts of shingles in bins as runs of up to two bits; shingles beyond those)."""
+    n, bins = len(at) - 1, SKETCH * 32
     doc = np.repeat(np.arange(n), np.diff(at))
     count = np.bincount(doc * bins + (hashing.mixed(h) % np.uint64(bins)).astype(np.int64), minlength=n * bins)[: n * bins]
-    kept = np.minimum(count, 8)
-    unary = ((1 << kept) - 1).astype(np.uint8).reshape(n, bins)
-    return np.ascontiguousarray(unary).view("<i8"), (count - kept).reshape(n, bins).sum(axis=1)
+    kept = np.minimum(count, 2)
+    unary = ((1 << kept) - 1).astype(np.uint8).reshape(-1, 4)
+    packed = unary[:, 0] | unary[:, 1] << 2 | unary[:, 2] << 4 | unary[:, 3] << 6
+    return packed.reshape(n, bins // 4).view("<i8"), (count - kept).reshape(n, bins).sum(axis=1)
 
 
 def _held(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if 16 * len(df.columns) * df.count() <= SMALL_BYTES else df
+
+
+def _joined(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """``rows`` left-joined with the one row of each ``key`` in the written table ``groups``. Large groups, which ``size``
+    tells, are few and broadcast, so no group's rows meet in one task."""
+    least = max(HEAVY, (groups.agg(F.sum(size).alias("n")).first()["n"] or 0) // HEAVY_SHARE)
+    heavy = groups.where(F.col(size) >= least)
+    if not heavy.limit(1).count():
+        return rows.join(groups, key, "left")
+    light = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(groups.where(F.col(size) < least), key, "left")
+    return light.unionByName(rows.join(F.broadcast(heavy), key))
 
 
 def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -206,84 +231,146 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         lab = step
 
 
-def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: (key, hash, label, class_id, class_size) of each row: the least key of
-    its class of near copies and the rows in the class. links:
-    (a_key, b_key, sim) between texts of different words that were found similar."""
-    every = store.written(signed(docs, bands=bands, rows=rows, key=key, text=text), "signed")
-    grouped = every.groupBy("k1", "k2").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
-    texts = store.written(grouped.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    banded = texts.where("weight > 0").select("rid", "weight", F.explode("keys").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("rid").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    crowded = store.written(banded.join(buckets, "bucket").select("bucket", "rid", "weight", "a"), "buckets")
-    pairs = store.written(crowded.where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
-    wanted = crowded.select("rid").distinct()
-    wanted = store.written(texts.select("rid", "k1", "k2", "first").join(wanted, "rid", "left_semi"), "wanted")
-    body = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    body = body.join(_held(wanted), F.col("key").eqNullSafe(F.col("first"))).select("rid", "k1", "k2", "text")
+def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(rid, text) of the ``wanted`` (rid, k1, k2, first, hash), one row each."""
+    body = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
+    wanted = wanted.withColumnRenamed("hash", "wanted_hash")
+    body = body.join(_held(wanted), F.col("key").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("wanted_hash"))).select("rid", "k1", "k2", "text")
 
     def own(batches):
         for b in bpe.parts(batches, 3, 2 << 20):
             words, at = hashing.word_hashes(b.column(3))
             k1, k2 = text_keys(words, at, b.column(3))
             same = (k1 == b.column(1).to_numpy()) & (k2 == b.column(2).to_numpy())
-            sketch, beyond = sketches(*hashing.shingle_hashes(words, at, SHINGLE))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(sketch.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), lists, pa.array(beyond)], names=["rid", "text", "sketch", "beyond"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["rid", "text"]).filter(pa.array(same))
+
+    return body.mapInArrow(own, "rid long, text string").dropDuplicates(["rid"])
+
 
-    body = store.written(body.mapInArrow(own, "rid long, text string, sketch array<long>, beyond long").dropDuplicates(["rid"]), "wanted-texts")
+def _bounds(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketched, alone) of ``texts`` (rid, text). sketched: (rid, sketch, beyond). alone: (rid, alone), the
+    shingles, repeated ones as often, that no other of the texts has; texts without any are not in it."""
+
+    def sketch(batches):
+        for b in bpe.parts(batches, 1, 2 << 20):
+            h, at = hashing.shingle_hashes(*hashing.word_hashes(b.column(1)), SHINGLE)
+            bits, beyond = sketches(h, at)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(beyond)], names=["rid", "sketch", "beyond"])
+
+    def single(batches):
+        for b in bpe.parts(batches, 1, 2 << 20):
+            h, n, at = hashing.multiset(*hashing.shingle_hashes(*hashing.word_hashes(b.column(1)), SHINGLE))
+            rid = np.repeat(b.column(0).to_numpy(), np.diff(at))
+            # what several texts of this part have is known not to be alone: one row for all of them
+            _, first, times = np.unique(h, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(rid[first]), pa.array(n[first].astype(np.int64)), pa.array(times)], names=["h", "rid", "n", "texts"])
+
+    owners = texts.mapInArrow(single, "h long, rid long, n long, texts long").groupBy("h").agg(F.sum("texts").alias("texts"), F.min("rid").alias("rid"), F.min("n").alias("n"))
+    return texts.mapInArrow(sketch, "rid long, sketch array<long>, beyond long"), owners.where("texts = 1").groupBy("rid").agg(F.sum("n").alias("alone"))
+
+
+def _others(rest: DataFrame, body: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different classes within the buckets of ``rest`` (bucket, rid, weight, label, main) that the bounds
+    leave and ``pairs`` lacks: all outside a bucket's largest class against all in the bucket."""
+    texts = store.written(body.join(_held(store.written(rest.select("rid").distinct(), "mixed-texts")), "rid", "left_semi"), "mixed-bodies")
+    sketched, alone = _bounds(texts)
+    alone = store.written(alone, "alone")
+    known = store.written(sketched.join(alone, "rid", "left").select("rid", "sketch", "beyond", F.coalesce("alone", F.lit(0)).alias("alone")), "bounds")
+    rest = rest.join(known, "rid").withColumn("shared", F.col("weight") - F.col("alone"))
+    rest = store.written(rest.where(F.col("shared") >= F.lit(threshold) * F.col("weight") - F.lit(1e-6)), "candidates")
+
+    def side(name: str) -> list:
+        return [F.col(c).alias(f"{c}_{name}") for c in ("rid", "weight", "label", "shared", "sketch", "beyond")]
+
+    x = rest.where("label <> main").select("bucket", *side("x"))
+    y = rest.select("bucket", "main", *side("y"))
+    once = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("label_x") < F.col("label_y")))
+    need = F.lit(threshold) * (F.col("weight_x") + F.col("weight_y")) - F.lit(1e-6)
+    common = F.least("beyond_x", "beyond_y")
+    for i in range(SKETCH):
+        common = common + F.bit_count(F.col("sketch_x")[i].bitwiseAND(F.col("sketch_y")[i]))
+    enough = (F.least("shared_x", "shared_y") * F.lit(1 + threshold) >= need) & (common * F.lit(1 + threshold) >= need)
+    more = x.join(y, "bucket").where(once & enough).select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
+    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return more.join(met, ["a", "b"], "left_anti")
+
+
+def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links). members: (key, hash, label, class_id, class_size, class_texts, n_links) of each row: the
+    least key of its class of near copies, the rows and the different texts in the class, and the links of its
+    text. links: (a_key, b_key, sim) between texts of different words that were compared and found similar; they
+    hold each class together, but are not all pairs within it."""
+    every = store.written(signed(docs, bands=bands, rows=rows, key=key, text=text), "signed")
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("least")
+    grouped = every.groupBy("k1", "k2").agg(least, F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
+    grouped = grouped.select("k1", "k2", F.col("least.key").alias("first"), F.col("least.hash").alias("hash"), "copies", "weight", "keys")
+    texts = store.written(grouped.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    banded = texts.where("weight > 0").select("rid", "weight", F.explode("keys").alias("bucket"))
+    buckets = store.written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    crowded = store.written(banded.join(_held(buckets), "bucket"), "crowded")
+    store.discard(buckets)
+    heart = crowded.join(store.written(crowded.groupBy("rid").agg(F.sum("n").alias("met")), "met"), "rid")
+    heart = store.written(heart.groupBy("bucket").agg(F.max(F.struct("met", "rid"))["rid"].alias("a")), "hearts")
+    pairs = store.written(crowded.join(_held(heart), "bucket").where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
+    wanted = store.written(texts.select("rid", "k1", "k2", "first", "hash").join(crowded.select("rid").distinct(), "rid", "left_semi"), "wanted")
+    body = store.written(_texts_of(docs, wanted, key, text), "wanted-texts")
     found = store.written(similarity(pairs, body).where(F.col("sim") >= threshold), "links")
     label = components(found)
-    mixed = store.written(crowded.join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "crowded")
-    spans = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1").select("bucket", "main")
-    rest = mixed.join(spans, "bucket").where("rid <> a").join(body.select("rid", "sketch", "beyond"), "rid")
-    rest = store.written(rest.select("bucket", "rid", "weight", "label", "main", "sketch", "beyond"), "mixed")
+    mixed = store.written(crowded.join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "labelled-buckets")
+    spans = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1")
+    rest = store.written(mixed.join(_held(store.written(spans.select("bucket", "main"), "spans")), "bucket").select("bucket", "rid", "weight", "label", "main"), "mixed")
     store.discard(crowded, mixed)
     if rest.limit(1).count():
-        # all outside a bucket's largest class against all in the bucket
-        x = rest.where("label <> main").select("bucket", F.col("rid").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la"), F.col("sketch").alias("sa"), F.col("beyond").alias("ea"))
-        y = rest.select("bucket", "main", F.col("rid").alias("b"), F.col("weight").alias("wb"), F.col("label").alias("lb"), F.col("sketch").alias("sb"), F.col("beyond").alias("eb"))
-        once = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("la") < F.col("lb")))
-        close = F.least("wa", "wb") >= F.lit(threshold) * F.greatest("wa", "wb")
-        common = F.least("ea", "eb")
-        for i in range(SKETCH):
-            common = common + F.bit_count(F.col("sa")[i].bitwiseAND(F.col("sb")[i]))
-        enough = common * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("wa") + F.col("wb")) - F.lit(1e-6)
-        more = x.join(y, "bucket").where(once & close & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = store.written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        more = store.written(_others(rest, body, pairs, threshold), "more-pairs")
         extra = store.written(similarity(more, body).where(F.col("sim") >= threshold), "more-links")
         if extra.limit(1).count():
             found = found.unionByName(extra)
             label = components(found)
-    whole = texts.select("rid", "k1", "k2", "first", "copies").join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    whole = store.written(whole, "labelled")
     store.discard(wanted, pairs, body, rest)
-    sizes = whole.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = whole.select("k1", "k2", "label").join(sizes, "label")
-    members = every.select("key", "hash", "k1", "k2").join(named, ["k1", "k2"]).select("key", "hash", "label", "class_id", "class_size")
+    degree = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("n_links"))
+    # only texts with links are in classes of several texts
+    some = store.written(texts.select("rid", "first", "copies").join(label.withColumnRenamed("id", "rid"), "rid").join(degree, "rid"), "linked-texts")
+    sizes = store.written(some.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("class_texts")), "sizes")
+    named = store.written(_joined(some.select("rid", "label", "n_links"), sizes, ["label"], "class_texts"), "named")
+    whole = texts.select("rid", "k1", "k2", "first", "copies").join(_held(named), "rid", "left")
+    own = {"label": F.col("rid"), "class_id": F.col("first"), "class_size": F.col("copies"), "class_texts": F.lit(1), "n_links": F.lit(0)}
+    linked_too = F.col("label").isNotNull()
+    whole = whole.select("k1", "k2", "copies", *[F.when(linked_too, F.col(c)).otherwise(v.cast("long")).alias(c) for c, v in own.items()])
+    members = _joined(every.select("key", "hash", "k1", "k2"), store.written(whole, "named-texts"), ["k1", "k2"], "copies").drop("k1", "k2", "copies")
     ends = texts.select("rid", "first")
     links = found.join(ends.select(F.col("rid").alias("a"), F.col("first").alias("a_key")), "a").join(ends.select(F.col("rid").alias("b"), F.col("first").alias("b_key")), "b").select("a_key", "b_key", "sim")
     return members, links
 
 
 def classes(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, class_size, is_first) of each row: the least key of its class of near copies,
-    the rows in the class, and whether the row has that key."""
+    """(key, class_id, class_size, is_first, class_texts, n_links) of each row: the least key of its class of near
+    copies, the rows in the class, whether the row has that key, the different texts in the class and the links of
+    the row's text to others that were compared with it."""
     members = linked(docs, bands=bands, rows=rows, threshold=threshold, key=key, text=text)[0]
-    return members.select(F.col("key").alias(key), "class_id", "class_size", F.col("key").eqNullSafe(F.col("class_id")).alias("is_first"))
+    return members.select(F.col("key").alias(key), "class_id", "class_size", F.col("key").eqNullSafe(F.col("class_id")).alias("is_first"), "class_texts", "n_links")
 
 
 def keep_first(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of near copies, as it is: the one with the least key, of equal keys the
     one with the least hash of its text, of equal rows any one."""
-    members = store.written(linked(docs, bands=bands, rows=rows, threshold=threshold, key=key, text=text)[0], "members")
+    names = docs.columns
+    members = store.written(linked(docs, bands=bands, rows=rows, threshold=threshold, key=key, text=text)[0].where("class_size > 1"), "members")
     first = F.col("key").eqNullSafe(F.col("class_id"))
     best = members.where(first).groupBy("label").agg(F.min("hash").alias("best"))
-    kept = store.written(members.join(best, "label").select("key", "hash", (first & F.col("hash").eqNullSafe(F.col("best"))).alias("kept")), "kept")
-    gone = store.written(kept.where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash")).distinct(), "dropped")
-    same = docs[key].cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text]) == F.col("__hash"))
-    out = docs.join(_held(gone), same, "left_anti")
-    if kept.where("kept").groupBy("key", "hash").count().where("count > 1").limit(1).count():
-        one = Window.partitionBy(docs[key], F.xxhash64(docs[text])).orderBy(F.lit(1))
-        out = out.withColumn("__n", F.row_number().over(one)).where(F.col("__n") == 1).drop("__n")
-    return out
+    firsts = members.where(first).join(best, "label").select("key", "hash", (F.col("hash") == F.col("best")).alias("kept"))
+    firsts = store.written(firsts, "firsts")
+    gone = store.written(members.where(~first).select("key", "hash").unionByName(firsts.where(~F.col("kept")).select("key", "hash")).distinct(), "dropped")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_key, own_text = F.col(f"c{names.index(key)}").cast("long"), F.col(f"c{names.index(text)}")
+
+    def same(keys: DataFrame):
+        return own_key.eqNullSafe(keys["key"]) & (F.xxhash64(own_text) == keys["hash"])
+
+    out = rows.join(_held(gone), same(gone), "left_anti")
+    twice = store.written(firsts.where("kept").groupBy("key", "hash").count().where("count > 1").select("key", "hash"), "twice")
+    if twice.limit(1).count():
+        one = Window.partitionBy(own_key, F.xxhash64(own_text)).orderBy(F.lit(1))
+        again = out.join(_held(twice), same(twice), "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
+        out = out.join(_held(twice), same(twice), "left_anti").unionByName(again)
+    return out.toDF(*names)
