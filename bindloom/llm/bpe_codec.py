@@ -8,7 +8,7 @@ merged exactly. The lexicon decides speed alone, never ids.
 
 Edge cases: null and empty texts have no ids and decode to ''; special strings inside texts become
 what the library makes of them by default; repeated rows are encoded each; other columns of the
-input are ignored; texts with unusual white space go to the library whole.
+input are ignored; texts with one of five control characters, U+0001 to U+0005, go to the library whole.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from . import bpe, store
 
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space of the library's pattern.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words in the lexicon.
 LEXICON_WORDS = 65_536
 MAGIC = b"MAFSA1\0\0"
@@ -102,7 +105,7 @@ class Automaton:
         at, parts = 56, []
         for n, kind in zip(raw[8:56].view("<i8").tolist(), ("<i8", "<i4", "<i4", "u1", "<i4", "<u4"), strict=True):
             size = n * np.dtype(kind).itemsize
-            parts.append(raw[at : at + size].view(kind))
+            parts.append(np.asarray(raw[at : at + size].view(kind)))
             at += size + -size % 8
         return cls(*parts)
 
@@ -137,7 +140,7 @@ class Codec:
         self.merges = bpe.merges(tokenizer)
         self.automaton = Automaton.load(lexicon) if lexicon else None
         self.dtype = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.known = bpe.Cache()
         back = {c: i for i, c in enumerate(bpe.SYMBOLS)}
         spelled = [b""] * self.library.get_vocab_size()
         for t, i in self.merges.vocab.items():
@@ -150,44 +153,49 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
 
     def words(self, new: list[str]) -> dict[str, bytes]:
-        """Packed ids of distinct words."""
-        out = {}
+        """Packed ids of distinct words: the lexicon's, or exactly merged."""
+        out, raw = {}, [w.encode() for w in new]
         if self.automaton:
-            for w, n in zip(new, self.automaton.find([w.encode() for w in new]).tolist(), strict=True):
-                if n >= 0:
-                    out[w] = self.automaton.outputs(n).astype(self.dtype).tobytes()
-        for w in new:
-            if w not in out:
-                out[w] = np.array(self.merges.ids(bpe.spelled(w)) if len(w) <= 200 else self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+            a, numbers = self.automaton, self.automaton.find(raw)
+            hits = np.flatnonzero(numbers >= 0)
+            lo, hi = a.bounds[numbers[hits]].tolist(), a.bounds[numbers[hits] + 1].tolist()
+            for k, i, j in zip(hits.tolist(), lo, hi, strict=True):
+                out[new[k]] = a.ids[i:j].astype(self.dtype).tobytes()
+            left = np.flatnonzero(numbers < 0).tolist()
+        else:
+            left = range(len(new))
+        short = [k for k in left if len(raw[k]) <= 4 * bpe.TOGETHER]
+        out |= zip([new[k] for k in short], self.merges.many([raw[k] for k in short], self.dtype), strict=True)
+        for k in left:
+            if len(raw[k]) > 4 * bpe.TOGETHER:
+                out[new[k]] = np.array(self.library.encode(new[k], add_special_tokens=False).ids, self.dtype).tobytes()
         return out
 
     def learn(self, chunks: list[str]) -> list[bytes]:
         out: list = [None] * len(chunks)
         split: dict[int, list[str]] = {}
+        other: list[int] = []
         for i, c in enumerate(chunks):
+            if c.isalpha() and (c.isascii() or bpe.PLAIN.fullmatch(c)):  # one word, after one blank
+                split[i] = [" " + c]
+                continue
             text = bpe.standing(c)
-            bare = c[1:] if c[:1] in (bpe.LINE, bpe.HEAD, bpe.MARK) else c
-            if bpe.SPECIAL in bare or bare and not bpe.PLAIN.fullmatch(bare):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            bare = text.lstrip(WHITE)
+            if bare and not bpe.plain(bare):
+                other.append(i)
             else:
                 split[i] = WORDS.findall(text)
         found = self.words(list({w for ws in split.values() for w in ws}))
         for i, ws in split.items():
-            out[i] = b"".join([found[w] for w in ws])
+            out[i] = found[ws[0]] if len(ws) == 1 else b"".join([found[w] for w in ws])
+        for i, e in zip(other, self.library.encode_batch_fast([bpe.standing(chunks[i]) for i in other], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.dtype).tobytes()
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text begins and the last one ends)."""
         split, odd = bpe.spaced_split(texts)
-        if len(self.known) > bpe.CACHE_ENTRIES:
-            self.known = {}
-        packed = list(map(self.known.get, split.distinct))
-        new = [i for i, b in enumerate(packed) if b is None]
-        for i, b in zip(new, self.learn([split.distinct[i] for i in new]), strict=True):
-            packed[i] = b
-            if len(split.distinct[i]) <= bpe.CACHED_CHARS:
-                self.known[split.distinct[i]] = b
-        ids, at = split.joined(packed, self.dtype)
+        ids, at = split.joined(self.known.packed(split.distinct, self.learn), self.dtype)
         if odd.any():
             parts = [ids[i:j] for i, j in zip(at, at[1:], strict=False)]
             for k in np.flatnonzero(odd):
@@ -212,17 +220,23 @@ def codec(tokenizer: str, lexicon: str | None) -> Codec:
 
 
 def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(word, n) over all documents; counts are summed within each batch before the shuffle."""
+    """(word, n) over all documents; counts are summed within each batch before the shuffle. A chunk of letters
+    is one word, after its blank; the words of others are cut out."""
 
     def run(batches):
         for b in bpe.parts(batches, 0):
             split, odd = bpe.spaced_split(b.column(0))
+            n = np.bincount(split.codes, minlength=len(split.distinct))
+            chunks = pa.array(split.distinct, pa.string())
+            letters = pc.match_substring_regex(chunks, "^[A-Za-z]+$")
             counts: Counter = Counter()
-            for c, n in zip(split.distinct, np.bincount(split.codes, minlength=len(split.distinct)).tolist(), strict=True):
-                for w in WORDS.findall(bpe.standing(c)):
-                    counts[w] += n
+            for i in np.flatnonzero(~letters.to_numpy(zero_copy_only=False)).tolist():
+                for w in WORDS.findall(bpe.standing(split.distinct[i])):
+                    counts[w] += int(n[i])
             for k in np.flatnonzero(odd):
                 counts.update(WORDS.findall(b.column(0)[int(k)].as_py()))
+            words = pc.binary_join_element_wise("", pc.filter(chunks, letters), " ")
+            yield pa.RecordBatch.from_arrays([words, pc.filter(pa.array(n.astype(np.int64)), letters)], names=["word", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return docs.select(docs[text]).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -239,7 +253,9 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WOR
     top = counts.collect()
     m = bpe.merges(tokenizer)
     plain = [r["word"] for r in top if bpe.SPECIAL not in r["word"] and bpe.PLAIN.fullmatch(r["word"].strip(" \n") or "x")]
-    data = Automaton.build({w.encode(): m.ids(bpe.spelled(w)) for w in plain if len(w) <= 200}).dump()
+    raw = [w.encode() for w in plain if len(w.encode()) <= 4 * bpe.TOGETHER]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in m.many(raw, "<u4")]
+    data = Automaton.build(dict(zip(raw, ids, strict=True))).dump()
     spark = docs.sparkSession
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.mafsa"
     path = f"{store.shared_root(spark)}/{name}"

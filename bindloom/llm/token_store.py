@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, *, key: str = "doc_id", t
 
     def run(batches):
         enc = bpe.word_chunks(tokenizer)
-        for b in bpe.parts(batches, 1, 4 << 20):
+        for b in bpe.parts(batches, 1, 8 << 20):
             ids, at = enc.encode(b.column(1))
             ids = np.insert(ids, at[1:], end)
             at = at + np.arange(len(at))
@@ -113,8 +113,10 @@ def frequencies(enc: DataFrame, size: int, dtype: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size)
+            ids = b.column(0).cast(pa.large_binary())
+            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            if len(ids) and at[-1] > at[0]:
+                total += np.bincount(np.frombuffer(ids.buffers()[2], dtype, (at[-1] - at[0]) // np.dtype(dtype).itemsize, at[0]), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
@@ -129,7 +131,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, *, key: str = "d
     spark = docs.sparkSession
     enc = store.written(encoded(docs, tokenizer, end, key=key, text=text), "token-ids")
     table = bpe.word_chunks(tokenizer)
-    size, dtype = len(table.final), table.dtype
+    size, dtype = table.size, table.dtype
     order = np.argsort(-frequencies(enc, size, dtype), kind="stable").astype("<u4")
     store.write_bytes(spark, f"{path}/ranks", order.tobytes())
     rank = np.empty(size, "<u4")
