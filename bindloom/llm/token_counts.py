@@ -10,15 +10,20 @@ within a budget.
 Counts are those of the tokenizers library for the prefix taken as a text of its own, without
 added special tokens; special strings inside texts count as the library treats them by default.
 
+A chunk of other than plain characters is cut where neither composition nor a word can reach across, and
+at complete special strings; each piece of one kind of character is a word whose prefixes are counted the
+same way. Only pieces with characters that compose, or around an apostrophe, go to the library, prefix by
+prefix. So the cut for a budget is exact in every text.
+
 Edge cases: null and empty texts have count 0 and cut 0; repeated rows are counted each; other
-columns of the input are ignored; chunks with other than plain characters or special strings are the
-library's, their inner prefixes one by one when asked for. In such a chunk of over LADDER_CHARS code
-points the cut for a budget is found by bisection, and is the longest within NEAR_CHARS of there.
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import array
+import json
+import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
@@ -26,20 +31,46 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 
 from . import bpe
 
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Contractions whose prefixes split otherwise.
 CUT_SHORT = {"'re", "'ve", "'ll"}
 #: Entries of a worker's tables of prefix states and of chunk totals; at these sizes they start anew.
 STATES, TOTALS = 700_000, 1_000_000
-#: Longer words are counted whole by the library; their prefixes have states by place.
+#: Longer chunks are counted whole by the library; prefixes of longer words have states by place.
 LADDER_CHARS = 400
-#: Code points beyond the place found by bisection that are tried too, in long chunks of the library's.
-NEAR_CHARS = 64
+#: Prefixes that the library counts at a time.
+AT_ONCE = 512
+
+
+@lru_cache(maxsize=65_536)
+def kind(c: str) -> str:
+    """L, N or P: which of the classes of WORDS a character is of, if it never composes with what stands before it
+    and its lower case is one character of that class; '' for all others."""
+
+    def of(x: str) -> str:
+        k = unicodedata.category(x)[0]
+        return k if k in "LN" else "P" if k in "PS" else ""
+
+    low = c.lower()
+    jamo = "\u1100" <= c <= "\u11ff" or "\ua960" <= c <= "\ua97f" or "\ud7b0" <= c <= "\ud7ff"
+    alone = len(low) == 1 and unicodedata.is_normalized("NFC", c) and unicodedata.is_normalized("NFC", low) and not jamo
+    return of(c) if alone and of(c) == of(low) else ""
+
+
+def pieces(text: str) -> list[str]:
+    """Parts of a text without white space whose prefixes do not depend on the parts before: cut where two
+    characters of known and different kinds meet, and between numbers. An apostrophe may belong to what follows."""
+    kinds = [kind(c) for c in text]
+    out, last = [], 0
+    for i in range(1, len(text)):
+        a, b = kinds[i - 1], kinds[i]
+        if a and b and (a != b or a == "N") and (text[i - 1] != "'" or not text[i].isascii()):
+            out.append(text[last:i])
+            last = i
+    return [*out, text[last:]] if text else []
 
 
 class PrefixCounts:
@@ -53,7 +84,9 @@ class PrefixCounts:
             raise ValueError("prefix counts need a vocabulary with end-of-word marks")
         self.inner = {t for t in self.merges.vocab if not t.endswith(mark)}
         self.final = {t[: -len(mark)] for t in self.merges.vocab if t.endswith(mark)}
-        self.longest = max(map(len, self.inner | self.final))
+        with open(path, encoding="utf-8") as f:
+            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.longest = max(map(len, [*self.inner, *self.final, *self.specials]))
         self.stable: dict[tuple[str, str, bool], bool] = {}
         self.states: dict[str, tuple[str, int]] = {"": ("", 0)}
         self.totals: dict[str, int] = {}
@@ -127,34 +160,65 @@ class PrefixCounts:
     def exact(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
-    @staticmethod
-    def plain(chunk: str) -> bool:
-        """Whether the chunk's words can be counted here; others are the library's."""
-        return bpe.SPECIAL not in chunk and bpe.PLAIN.fullmatch(chunk) is not None
-
     def chunk(self, chunk: str) -> list[int]:
-        """Count at each code point prefix of a chunk, from 0 code points on."""
-        if not self.plain(chunk):
-            return [self.exact(chunk[:k]) for k in range(len(chunk) + 1)]
+        """Count at each code point prefix of a chunk, from 0 code points on. A special string is one token once
+        it is complete; what stands before and after it is text of its own."""
+        got = [0]
+        while chunk:
+            at, special = min(((i, s) for s in self.specials if (i := chunk.find(s)) >= 0), default=(len(chunk), ""))
+            part, base = chunk[: at + len(special)], got[-1]
+            steps = self.text(part)
+            got += [base + n for n in steps[1:]]
+            if special:
+                got[-1] = base + steps[at] + 1
+            chunk = chunk[len(part) :]
+        return got
+
+    def text(self, text: str) -> list[int]:
+        """Count at each code point prefix of a text without white space, all of it taken as words."""
+        if bpe.PLAIN.fullmatch(text):
+            return self.plain_text(text)
+        got = [0]
+        for piece in pieces(text):
+            base = got[-1]
+            got += [base + n for n in self.piece(piece)[1:]]
+        return got
+
+    def plain_text(self, text: str) -> list[int]:
         got, base = [0], 0
-        for word in WORDS.findall(chunk.lower()):
+        for word in bpe.WORDS.findall(text.lower()):
             if word in CUT_SHORT:  # cut short, the contraction is no word of its own
                 first = self.whole("'")
                 steps = [first, first + self.whole(word[1]), self.whole(word)]
-            elif word.isascii():
-                steps = self.ladder(word)
             else:
-                spelled, ends = bpe.spelled(word), accumulate(len(c.encode()) for c in word)
-                steps = [self.whole(spelled[:e]) for e in ends]
+                steps = self.word(word)
             got += [base + s for s in steps]
             base = got[-1]
         return got
 
+    def word(self, word: str) -> list[int]:
+        """Count of each code point prefix of a lower-case word."""
+        steps = self.ladder(word if word.isascii() else bpe.spelled(word))
+        return steps if word.isascii() else [steps[e - 1] for e in accumulate(len(c.encode()) for c in word)]
+
+    def piece(self, piece: str) -> list[int]:
+        if bpe.PLAIN.fullmatch(piece):
+            return self.plain_text(piece)
+        if "'" not in piece and all(map(kind, piece)):  # all of one kind: one word
+            steps = self.word(piece.lower())
+            if steps[-1] == self.exact(piece):
+                return [0, *steps]
+        out = [0]
+        for lo in range(1, len(piece) + 1, AT_ONCE):
+            some = [piece[:k] for k in range(lo, min(lo + AT_ONCE, len(piece) + 1))]
+            out += [len(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
     def count(self, chunk: str) -> int:
         """Count of a whole chunk."""
-        if len(chunk) > LADDER_CHARS or not self.plain(chunk):
+        if len(chunk) > LADDER_CHARS or not bpe.plain(chunk):
             return self.exact(chunk)
-        return sum([self.whole(w if w.isascii() else bpe.spelled(w)) for w in WORDS.findall(chunk.lower())])
+        return sum([self.whole(w if w.isascii() else bpe.spelled(w)) for w in bpe.WORDS.findall(chunk.lower())])
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -197,12 +261,7 @@ class PrefixCounts:
     def cut_in(self, chunk: str, room: int) -> int:
         """Code points of a chunk's longest prefix of at most ``room`` tokens. No token is longer than
         ``longest``, so only as much of the chunk counts as ``room`` of them could hold."""
-        if self.plain(chunk):
-            return max(k for k, n in enumerate(self.chunk(chunk[: room * self.longest + 1])) if n <= room)
-        if len(chunk) <= LADDER_CHARS:
-            return max(k for k, n in enumerate(self.chunk(chunk)) if n <= room)
-        low = bisect_right(range(len(chunk) + 1), room, key=lambda k: self.exact(chunk[:k])) - 1
-        return max(k for k in range(low, min(len(chunk), low + NEAR_CHARS) + 1) if k == low or self.exact(chunk[:k]) <= room)
+        return max(k for k, n in enumerate(self.chunk(chunk[: room * self.longest + 1])) if n <= room)
 
 
 @lru_cache(maxsize=2)
