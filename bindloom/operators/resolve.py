@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import names
 
 POOL = ["bare", "to_type", "family"]
@@ -86,14 +87,17 @@ def _hits(rows: DataFrame, keys: list[str], n: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias(f"n{n}"), F.min("node_id").alias(f"t{n}"))
 
 
-def bindings(edges: DataFrame, nodes: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def bindings(edges: DataFrame, nodes: DataFrame, facts: DataFrame | None = None, *, few: bool = False) -> DataFrame:
     """Each reference with its binding: to_id ('' if unbound), confidence, resolved_by, outcome,
-    attempts ('rule:result' in order, comma-joined), n_candidates."""
+    attempts ('rule:result' in order, comma-joined), n_candidates. With ``few`` references, definitions of
+    names that none of them has leave before they are counted."""
     facts = import_facts(nodes) if facts is None else facts
     e = _prepared(edges, nodes)
     looked = ["src_file", "src_language", "family", "to_type", "norm", "bare", "rel"]
     k = e.where("src_file is not null").select(*looked).distinct()
     node = nodes.select("node_id", F.col("name").alias("bare"), F.col("node_type").alias("to_type"), names.family(F.col("language")).alias("family"), "file_path", "qualified_name")
+    if few:
+        node = node.join(k.select("bare").distinct(), "bare", "left_semi")
     parts = node.select("node_id", *POOL, "qualified_name", F.explode(names.suffixes(F.col("qualified_name"))).alias("norm"))
     whole = F.col("norm") == F.col("qualified_name")
     suffix = parts.groupBy(*POOL, "norm").agg(F.count_if(whole).alias("n1"), F.min(F.when(whole, F.col("node_id"))).alias("t1"), F.count_if(~whole).alias("n2"), F.min(F.when(~whole, F.col("node_id"))).alias("t2"))
@@ -141,10 +145,14 @@ def bindings(edges: DataFrame, nodes: DataFrame, facts: DataFrame | None = None)
     )
 
 
-def candidates(bound: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(edge_id, candidate): the definitions that each ambiguous reference may mean, by join."""
-    e = _prepared(bound.where("confidence = 'AMBIGUOUS'").select("edge_id", "from_id", "to_name", "to_type"), nodes)
-    node = nodes.select(F.col("node_id").alias("candidate"), F.col("name").alias("bare"), F.col("node_type").alias("to_type"), names.family(F.col("language")).alias("family"), "qualified_name")
+def candidates(bound: DataFrame, nodes: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(edge_id, candidate): the definitions that each ambiguous reference may mean, by join; only those of
+    ``among`` if given, which also narrows the references to names that it has."""
+    rows = bound.where("confidence = 'AMBIGUOUS'").select("edge_id", "from_id", "to_name", "to_type")
+    if among is not None:
+        rows = rows.join(among.select("name").distinct(), names.bare(names.normalized(F.col("to_name"))) == F.col("name"), "left_semi")
+    e = _prepared(rows, nodes)
+    node = (nodes if among is None else among).select(F.col("node_id").alias("candidate"), F.col("name").alias("bare"), F.col("node_type").alias("to_type"), names.family(F.col("language")).alias("family"), "qualified_name")
     plain = e.where(~F.contains("norm", F.lit("::"))).join(node, POOL).select("edge_id", "candidate")
     parts = node.select("candidate", *POOL, F.explode(names.suffixes(F.col("qualified_name"))).alias("norm"))
     deep = e.where(F.contains("norm", F.lit("::"))).join(parts, [*POOL, "norm"]).select("edge_id", "candidate")
@@ -180,10 +188,13 @@ def delta_names(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def incremental(bound: DataFrame, nodes: DataFrame, changed_files: DataFrame, changed_names: DataFrame, generation: int, facts: DataFrame | None = None) -> DataFrame:
     """Bind again only what a change can touch: references from changed files and those whose bare name
-    a changed definition has. All others keep binding and generation."""
-    e = _prepared(bound.select("edge_id", "from_id", "to_name"), nodes).select("edge_id", "src_file", "bare")
-    touched = e.join(changed_files.select(F.col("file_path").alias("src_file")).distinct(), "src_file", "left_semi").select("edge_id")
-    touched = touched.unionByName(e.join(changed_names.select(F.col("name").alias("bare")).distinct(), "bare", "left_semi").select("edge_id")).distinct()
+    a changed definition has. All others keep binding and generation. One pass over the references marks what
+    is touched and writes it; only that and definitions of its names are looked at then."""
+    changed = changed_files.select(F.col("file_path").alias("src_file")).distinct().join(nodes.select("node_id", F.col("file_path").alias("src_file")), "src_file")
+    by_file = changed.select(F.col("node_id").alias("from_id"), F.lit(True).alias("moved"))
+    by_name = changed_names.select(F.col("name").alias("bare")).distinct().withColumn("renamed", F.lit(True))
+    marked = bound.withColumn("bare", names.bare(names.normalized(F.col("to_name")))).join(by_file, "from_id", "left").join(by_name, "bare", "left")
+    marked = storage.snapshot(marked.select(*bound.columns, (F.coalesce("moved", F.lit(False)) | F.coalesce("renamed", F.lit(False))).alias("touched")), "marked")
     keys = ["edge_id", "from_id", "to_name", "to_type", "edge_type"]
-    again = bindings(bound.join(touched, "edge_id", "left_semi").select(*keys), nodes, facts).withColumn("resolution_gen", F.lit(generation))
-    return bound.join(touched, "edge_id", "left_anti").unionByName(again)
+    again = bindings(marked.where("touched").select(*keys), nodes, facts, few=True).withColumn("resolution_gen", F.lit(generation))
+    return marked.where("not touched").select(*bound.columns).unionByName(again)

@@ -95,7 +95,7 @@ def ambiguous_into(found: DataFrame, bound: DataFrame, nodes: DataFrame, depth:
     """Ambiguous references that may mean what was reached, by their candidates."""
     inner = found.where(F.col("depth") < depth).select("root_id", F.col("node_id").alias("candidate"), (F.col("depth") + 1).alias("depth"))
     wanted = nodes.join(inner.select(F.col("candidate").alias("node_id")).distinct(), "node_id", "left_semi")
-    may = candidates(bound.where(F.col("edge_type").isin(*names.NAME_EDGES)), nodes).join(wanted.select(F.col("node_id").alias("candidate")), "candidate", "left_semi")
+    may = candidates(bound.where(F.col("edge_type").isin(*names.NAME_EDGES)), nodes, wanted)
     e = bound.select("edge_id", "from_id", "to_name", "to_type")
     return may.join(inner, "candidate").join(e, "edge_id").select("root_id", "candidate", "edge_id", "from_id", "to_name", "to_type", "depth")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,14 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder only where that is unset."""
+    """What ``spark.checkpoint.dir`` names. Where that is unset, a temporary folder on one machine, an error
+    on a cluster, whose executors would not see it."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bindloom-graph-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bindloom-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
