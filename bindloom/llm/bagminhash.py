@@ -43,15 +43,10 @@ from pyspark.sql import functions as F
 from . import bpe, hashing, store
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
-#: Bytes of a written table, at 16 for each of its columns, up to which it is broadcast.
-SMALL_BYTES = 32 << 20
 #: Partners of one text that go to one task.
 PARTNERS = 512
 #: 64-bit numbers of a sketch, 32 bins of two bits in each.
 SKETCH = 32
-#: Classes of at least so many texts, or of one in HEAVY_SHARE of all if that is more, meet their texts by
-#: broadcast: at most HEAVY_SHARE of them.
-HEAVY, HEAVY_SHARE = 1_000, 100_000
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -163,22 +158,6 @@ def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed.reshape(n, bins // 4).view("<i8"), (count - kept).reshape(n, bins).sum(axis=1)
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it is small."""
-    return F.broadcast(df) if 16 * len(df.columns) * df.count() <= SMALL_BYTES else df
-
-
-def _joined(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
-    """``rows`` left-joined with the one row of each ``key`` in the written table ``groups``. Large groups, which ``size``
-    tells, are few and broadcast, so no group's rows meet in one task."""
-    least = max(HEAVY, (groups.agg(F.sum(size).alias("n")).first()["n"] or 0) // HEAVY_SHARE)
-    heavy = groups.where(F.col(size) >= least)
-    if not heavy.limit(1).count():
-        return rows.join(groups, key, "left")
-    light = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(groups.where(F.col(size) < least), key, "left")
-    return light.unionByName(rows.join(F.broadcast(heavy), key))
-
-
 def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, sim): exact weighted Jaccard of the shingles of each pair of ``texts`` (rid, text).
 
@@ -235,7 +214,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
     """(rid, text) of the ``wanted`` (rid, k1, k2, first, hash), one row each."""
     body = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
     wanted = wanted.withColumnRenamed("hash", "wanted_hash")
-    body = body.join(_held(wanted), F.col("key").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("wanted_hash"))).select("rid", "k1", "k2", "text")
+    body = body.join(store.held(wanted), F.col("key").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("wanted_hash"))).select("rid", "k1", "k2", "text")
 
     def own(batches):
         for b in bpe.parts(batches, 3, 2 << 20):
@@ -273,7 +252,7 @@ def _bounds(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _others(rest: DataFrame, body: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of different classes within the buckets of ``rest`` (bucket, rid, weight, label, main) that the bounds
     leave and ``pairs`` lacks: all outside a bucket's largest class against all in the bucket."""
-    texts = store.written(body.join(_held(store.written(rest.select("rid").distinct(), "mixed-texts")), "rid", "left_semi"), "mixed-bodies")
+    texts = store.written(body.join(store.held(store.written(rest.select("rid").distinct(), "mixed-texts")), "rid", "left_semi"), "mixed-bodies")
     sketched, alone = _bounds(texts)
     alone = store.written(alone, "alone")
     known = store.written(sketched.join(alone, "rid", "left").select("rid", "sketch", "beyond", F.coalesce("alone", F.lit(0)).alias("alone")), "bounds")
@@ -308,18 +287,18 @@ def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold:
     texts = store.written(grouped.withColumn("rid", F.monotonically_increasing_id()), "texts")
     banded = texts.where("weight > 0").select("rid", "weight", F.explode("keys").alias("bucket"))
     buckets = store.written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    crowded = store.written(banded.join(_held(buckets), "bucket"), "crowded")
+    crowded = store.written(banded.join(store.held(buckets), "bucket"), "crowded")
     store.discard(buckets)
     heart = crowded.join(store.written(crowded.groupBy("rid").agg(F.sum("n").alias("met")), "met"), "rid")
     heart = store.written(heart.groupBy("bucket").agg(F.max(F.struct("met", "rid"))["rid"].alias("a")), "hearts")
-    pairs = store.written(crowded.join(_held(heart), "bucket").where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
+    pairs = store.written(crowded.join(store.held(heart), "bucket").where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
     wanted = store.written(texts.select("rid", "k1", "k2", "first", "hash").join(crowded.select("rid").distinct(), "rid", "left_semi"), "wanted")
     body = store.written(_texts_of(docs, wanted, key, text), "wanted-texts")
     found = store.written(similarity(pairs, body).where(F.col("sim") >= threshold), "links")
     label = components(found)
     mixed = store.written(crowded.join(label.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "labelled-buckets")
     spans = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("main")).where("labels > 1")
-    rest = store.written(mixed.join(_held(store.written(spans.select("bucket", "main"), "spans")), "bucket").select("bucket", "rid", "weight", "label", "main"), "mixed")
+    rest = store.written(mixed.join(store.held(store.written(spans.select("bucket", "main"), "spans")), "bucket").select("bucket", "rid", "weight", "label", "main"), "mixed")
     store.discard(crowded, mixed)
     if rest.limit(1).count():
         more = store.written(_others(rest, body, pairs, threshold), "more-pairs")
@@ -332,12 +311,12 @@ def linked(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, threshold:
     # only texts with links are in classes of several texts
     some = store.written(texts.select("rid", "first", "copies").join(label.withColumnRenamed("id", "rid"), "rid").join(degree, "rid"), "linked-texts")
     sizes = store.written(some.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("class_texts")), "sizes")
-    named = store.written(_joined(some.select("rid", "label", "n_links"), sizes, ["label"], "class_texts"), "named")
-    whole = texts.select("rid", "k1", "k2", "first", "copies").join(_held(named), "rid", "left")
+    named = store.written(store.joined(some.select("rid", "label", "n_links"), sizes, ["label"], "class_texts"), "named")
+    whole = texts.select("rid", "k1", "k2", "first", "copies").join(store.held(named), "rid", "left")
     own = {"label": F.col("rid"), "class_id": F.col("first"), "class_size": F.col("copies"), "class_texts": F.lit(1), "n_links": F.lit(0)}
     linked_too = F.col("label").isNotNull()
     whole = whole.select("k1", "k2", "copies", *[F.when(linked_too, F.col(c)).otherwise(v.cast("long")).alias(c) for c, v in own.items()])
-    members = _joined(every.select("key", "hash", "k1", "k2"), store.written(whole, "named-texts"), ["k1", "k2"], "copies").drop("k1", "k2", "copies")
+    members = store.joined(every.select("key", "hash", "k1", "k2"), store.written(whole, "named-texts"), ["k1", "k2"], "copies").drop("k1", "k2", "copies")
     ends = texts.select("rid", "first")
     links = found.join(ends.select(F.col("rid").alias("a"), F.col("first").alias("a_key")), "a").join(ends.select(F.col("rid").alias("b"), F.col("first").alias("b_key")), "b").select("a_key", "b_key", "sim")
     return members, links
@@ -367,10 +346,10 @@ def keep_first(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, thresho
     def same(keys: DataFrame):
         return own_key.eqNullSafe(keys["key"]) & (F.xxhash64(own_text) == keys["hash"])
 
-    out = rows.join(_held(gone), same(gone), "left_anti")
+    out = rows.join(store.held(gone), same(gone), "left_anti")
     twice = store.written(firsts.where("kept").groupBy("key", "hash").count().where("count > 1").select("key", "hash"), "twice")
     if twice.limit(1).count():
         one = Window.partitionBy(own_key, F.xxhash64(own_text)).orderBy(F.lit(1))
-        again = out.join(_held(twice), same(twice), "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
-        out = out.join(_held(twice), same(twice), "left_anti").unionByName(again)
+        again = out.join(store.held(twice), same(twice), "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
+        out = out.join(store.held(twice), same(twice), "left_anti").unionByName(again)
     return out.toDF(*names)

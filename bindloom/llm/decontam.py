@@ -32,8 +32,6 @@ _CLASS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _BREAK = f"[{_CLASS}]+"
 _LEADING = "".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a written table up to which it is broadcast: of terms or places of the test set, and of ids.
-SMALL_ROWS, SMALL_IDS = 300_000, 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -51,11 +49,6 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
-def _held(df: DataFrame, rows: int) -> DataFrame:
-    """A written table, marked for broadcast if it is no longer than ``rows``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def document_key(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, hash, text): what tells rows apart, without nulls."""
     return docs.select(F.coalesce(docs[key].cast("long"), F.lit(0)).alias("doc"), F.xxhash64(docs[text], docs[key].isNull()).alias("hash"), docs[key].alias("key"), docs[text].alias("text"))
@@ -79,7 +72,7 @@ def build(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     ids = listed.where(F.col("item_id").isNotNull()).select("tid", "item_id").distinct()
     placed = listed.dropDuplicates(["tid"]).select("tid", F.size("w").alias("size"), F.posexplode("w").alias("ip", "term"))
     terms = store.written(placed.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "test-terms")
-    terms = _held(terms, SMALL_ROWS)
+    terms = store.held(terms)
     placed = store.written(placed.join(terms, "term").select("tid", "ip", "term_id", "size"), "test-words")
     rows = document_key(docs, key, text).select("doc", "hash", F.posexplode(words(F.col("text"))).alias("pos", "word")).where("word <> ''")
     postings = rows.withColumn("term", lowered(F.col("word"))).join(terms, "term").select("doc", "hash", "pos", "term_id")
@@ -88,17 +81,19 @@ def build(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
 def diagonals(index: Index, n: int, *, slop: int = 0) -> DataFrame:
     """(doc, hash, tid, diag): where the rarest term of any window of an item occurs with the window's
-    second-rarest term in its place, give or take ``slop`` positions."""
+    second-rarest term in its place, each give or take ``slop`` positions."""
     frequency = store.written(index.postings.groupBy("term_id").agg(F.count("*").alias("freq")), "term-counts")
     known = index.items.join(frequency, "term_id", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     ahead = Window.partitionBy("tid").orderBy("ip").rowsBetween(0, n - 1)
     starts = known.withColumn("o", F.array_sort(F.collect_list(F.struct("freq", "ip", "term_id")).over(ahead))).where(F.col("ip") <= F.greatest(F.col("size") - n, F.lit(0)))
     rare = starts.select("tid", F.get("o", F.lit(0)).alias("one"), F.get("o", F.lit(1)).alias("two")).where("one.freq > 0")
     rare = store.written(rare.select("tid", "one.ip", "one.term_id", (F.col("two.ip") - F.col("one.ip")).alias("gap"), F.col("two.term_id").alias("term2")).distinct(), "rare-terms")
-    found = index.postings.join(_held(rare, SMALL_ROWS), "term_id").select("doc", "hash", "tid", (F.col("pos") - F.col("ip")).alias("diag"), (F.col("pos") + F.col("gap")).alias("pos"), F.col("term2").alias("term_id"))
-    if slop:
+    found = index.postings.join(store.held(rare), "term_id").select("doc", "hash", "tid", (F.col("pos") - F.col("ip")).alias("diag"), (F.col("pos") + F.col("gap")).alias("pos"), F.col("term2").alias("term_id"))
+    if slop:  # the rarest term may itself be off the diagonal
+        off = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
+        found = found.withColumn("off", off).select("doc", "hash", "tid", (F.col("diag") + F.col("off")).alias("diag"), (F.col("pos") + F.col("off")).alias("pos"), "term_id")
         found = found.withColumn("pos", F.explode_outer(F.when(F.col("pos").isNotNull(), F.expr(f"sequence(pos - {slop}, pos + {slop})"))))
-    next_terms = _held(store.written(rare.select(F.col("term2").alias("term_id")).where("term_id is not null").distinct(), "next-terms"), SMALL_ROWS)
+    next_terms = store.held(store.written(rare.select(F.col("term2").alias("term_id")).where("term_id is not null").distinct(), "next-terms"))
     second = index.postings.join(next_terms, "term_id", "left_semi")
     both = found.where("term_id is not null").join(second, ["doc", "hash", "pos", "term_id"], "left_semi")
     alone = found.where("term_id is null")  # an item of one word
@@ -110,9 +105,9 @@ def matches(index: Index, n: int, *, slop: int = 0) -> DataFrame:
     """(doc, hash, tid, diag, n, starts, at): item places at which a window begins all of whose terms
     lie on the diagonal, no more than ``slop`` positions off it, and the item places of those terms."""
     found = diagonals(index, n, slop=slop)
-    docs = _held(store.written(found.select("doc", "hash").distinct(), "candidates"), SMALL_IDS)
+    docs = store.held(store.written(found.select("doc", "hash").distinct(), "candidates"))
     near = index.postings.join(docs, ["doc", "hash"], "left_semi")
-    wanted = found.join(_held(index.items, SMALL_ROWS), "tid").select("doc", "hash", "tid", "diag", "ip", "term_id", "size", (F.col("diag") + F.col("ip")).alias("pos"))
+    wanted = found.join(store.held(index.items), "tid").select("doc", "hash", "tid", "diag", "ip", "term_id", "size", (F.col("diag") + F.col("ip")).alias("pos"))
     if slop:
         wanted = wanted.withColumn("pos", F.explode(F.expr(f"sequence(pos - {slop}, pos + {slop})")))
     hit = wanted.join(near, ["doc", "hash", "pos", "term_id"])
@@ -128,7 +123,7 @@ def _found(docs: DataFrame, items: DataFrame, n: int, key: str, text: str, item_
     exact = store.written(exact, "phrases")
     store.discard(index.postings)
     hits = exact.groupBy("doc", "hash").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
-    named = exact.select("doc", "hash", "tid").distinct().join(_held(store.written(index.ids, "item-ids"), SMALL_ROWS), "tid")
+    named = exact.select("doc", "hash", "tid").distinct().join(store.held(store.written(index.ids, "item-ids")), "tid")
     return hits, named.groupBy("doc", "hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
 
 
@@ -152,6 +147,9 @@ def report(docs: DataFrame, items: DataFrame, *, n: int = 8, at_least: int = 2,
 def clean(docs: DataFrame, items: DataFrame, *, n: int = 8, at_least: int = 2, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, as they are."""
     named = _found(docs, items, n, key, text, item_key, item_text)[1]
-    bad = store.written(named.where(F.size("ids") >= at_least).select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash")), "contaminated")
-    same = (F.coalesce(docs[key].cast("long"), F.lit(0)) == F.col("__doc")) & (F.xxhash64(docs[text], docs[key].isNull()) == F.col("__hash"))
-    return docs.join(_held(bad, SMALL_IDS), same, "left_anti")
+    bad = store.written(named.where(F.size("ids") >= at_least).select("doc", "hash"), "contaminated")
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_key, own_text = F.col(f"c{names.index(key)}"), F.col(f"c{names.index(text)}")
+    same = (F.coalesce(own_key.cast("long"), F.lit(0)) == bad["doc"]) & (F.xxhash64(own_text, own_key.isNull()) == bad["hash"])
+    return rows.join(store.held(bad), same, "left_anti").toDF(*names)

@@ -10,7 +10,6 @@ reach will do.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,19 +17,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+
+#: Bytes of a written table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Groups of at least so many rows, or of one in HEAVY_SHARE of all if that is more, meet their rows by
+#: broadcast: at most HEAVY_SHARE of them.
+HEAVY, HEAVY_SHARE = 1_000, 100_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = sc.getCheckpointDir()
-        if not root:
-            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="bindloom-"))
-            root = sc.getCheckpointDir()
-    return root.rstrip("/")
+    """The folder in ``spark.checkpoint.dir``; one of our own only in local mode and where that is unset."""
+    return storage.shared_folder(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -84,8 +84,28 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.shared_path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its values, at 8 bytes a number and 24 a row, are few bytes."""
+    size = F.lit(24)
+    for f in df.schema.fields:
+        text = f.dataType.typeName() in ("string", "binary")
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if text else F.lit(8))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def joined(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """``rows`` left-joined with the one row of each ``key`` in the written table ``groups``. Large groups, which
+    ``size`` tells, are few and broadcast, so no group's rows meet in one task."""
+    least = max(HEAVY, (groups.agg(F.sum(size).alias("n")).first()["n"] or 0) // HEAVY_SHARE)
+    heavy = groups.where(F.col(size) >= least)
+    if not heavy.limit(1).count():
+        return rows.join(held(groups), key, "left")
+    light = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(groups.where(F.col(size) < least), key, "left")
+    return light.unionByName(rows.join(F.broadcast(heavy), key))
+
+
 def write_blobs(df: DataFrame, column: str, path: str) -> None:
-    """Write a binary column as raw files, one per partition: the rows' bytes, each followed by
+    """Write a binary column as raw files, one per partition: the rows' bytes in order, each followed by
     one newline. Goes through Spark's text writer, hence its commit protocol and any store."""
     df.select(F.col(column).cast("string").alias("value")).write.text(path)
 

@@ -1,13 +1,14 @@
 """WARC records in ZIP packages: a writer, and a reader that takes ranges without extraction.
 
-A package is a ZIP file whose members are stored, not deflated: ``archive/data.warc.gz`` (one gzip
-member a record) and ``indexes/index.cdx`` (key, offset, length of each record). A reader takes the end
-of the file, from there the central directory (ZIP64 where sizes or counts ask for it), from there
-the members' places, then the index and each record by its range. Over a file system that tasks can
-open, only those ranges are read; elsewhere Spark hands over the file's content.
+A package is a ZIP file whose members are stored, not deflated: ``archive/data.warc.gz`` and, where records
+are many, ``archive/data-1.warc.gz`` and so on (one gzip member a record), then ``indexes/index.cdx`` (key,
+number of the archive, offset, length of each record). A reader takes the end of the file, from there the
+central directory (ZIP64 where sizes or counts ask for it), from there the members' places, then the index
+and each record by its range: through the file system that tasks can open, or the store's own client in
+pyarrow.fs. Only on a store that has neither does Spark hand over the file's content.
 
-Packages are written by Spark's own committer, one a task; a task's rows hold at most PACKAGE_BYTES
-of payload or are dealt out anew.
+Packages are written by Spark's own committer, one a task. An archive is sent on as soon as it has
+PACKAGE_BYTES, so a task holds no more than that, however many pages it has.
 
 Edge cases: a null payload is empty; payloads below MIN_REVISIT bytes are always responses; a null
 page id is kept as null, never what a revisit refers to unless no other row has the payload; rows
@@ -24,6 +25,7 @@ import zlib
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,6 @@ from . import store
 
 MIN_REVISIT = 100
 PACKAGE_BYTES = 64 << 20
-#: Rows of a table of repeated payloads up to which it is broadcast.
-SMALL_ROWS = 300_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -41,33 +41,82 @@ END64, LOCATOR = struct.Struct("<4sQ2H2I4Q"), struct.Struct("<4sIQI")
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
 
 
-def zipped(members: list[tuple[str, bytes]], *, zip64: bool = False, comment: bytes = b"") -> bytes:
-    """A ZIP file of stored members. ZIP64 records where a number needs them, or everywhere."""
-    out, central, at = [], [], 0
-    for name, data in members:
-        raw, crc, big = name.encode(), zlib.crc32(data), zip64 or len(data) >= _FULL32 or at >= _FULL32
+class Package:
+    """A ZIP file of stored members, made in parts: the bytes of each part, and one byte between it and the next,
+    so that parts can be sent on at once. ZIP64 records where a number needs them, or everywhere."""
+
+    def __init__(self, *, zip64: bool = False):
+        self.zip64, self.at, self.central, self.index, self.archives = zip64, 0, [], [], 0
+
+    def member(self, name: str, data: bytes) -> bytes:
+        raw, crc, big = name.encode(), zlib.crc32(data), self.zip64 or len(data) >= _FULL32 or self.at >= _FULL32
         extra = struct.pack("<2H2Q", 1, 16, len(data), len(data)) if big else b""
         n = _FULL32 if big else len(data)
         head = LOCAL.pack(b"PK\3\4", 45 if big else 20, 0x800, 0, 0, 0x21, crc, n, n, len(raw), len(extra)) + raw + extra
-        more = struct.pack("<2H3Q", 1, 24, len(data), len(data), at) if big else b""
-        central.append(CENTRAL.pack(b"PK\1\2", 45, 45 if big else 20, 0x800, 0, 0, 0x21, crc, n, n, len(raw), len(more), 0, 0, 0, 0, _FULL32 if big else at) + raw + more)
-        out += [head, data]
-        at += len(head) + len(data)
-    size, count = sum(map(len, central)), len(members)
-    big = zip64 or at >= _FULL32 or count >= _FULL16
-    tail = [*central]
-    if big:
-        tail += [END64.pack(b"PK\6\6", 44, 45, 45, 0, 0, count, count, size, at), LOCATOR.pack(b"PK\6\7", 0, at + size, 1)]
-    tail.append(END.pack(b"PK\5\6", 0, 0, _FULL16 if big else count, _FULL16 if big else count, _FULL32 if big else size, _FULL32 if big else at, len(comment)) + comment)
-    return b"".join(out + tail)
+        more = struct.pack("<2H3Q", 1, 24, len(data), len(data), self.at) if big else b""
+        self.central.append(CENTRAL.pack(b"PK\1\2", 45, 45 if big else 20, 0x800, 0, 0, 0x21, crc, n, n, len(raw), len(more), 0, 0, 0, 0, _FULL32 if big else self.at) + raw + more)
+        self.at += len(head) + len(data) + 1
+        return head + data
+
+    def archive(self, records: list[tuple[str, bytes]]) -> bytes:
+        """The next archive, of (key, record); each record is a gzip member of its own."""
+        parts, at = [], 0
+        for key, raw in records:
+            squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+            packed = squeeze.compress(raw) + squeeze.flush()
+            self.index.append(f"{key} {self.archives} {at} {len(packed)}\n")
+            parts.append(packed)
+            at += len(packed)
+        self.archives += 1
+        return self.member(data_name(self.archives - 1), b"".join(parts))
+
+    def end(self) -> bytes:
+        """The index and the directory; the byte after it is the file's comment."""
+        last = self.member(INDEX, "".join(self.index).encode()) + b"\n"
+        size, count = sum(map(len, self.central)), len(self.central)
+        big = self.zip64 or self.at >= _FULL32 or count >= _FULL16
+        wide = END64.pack(b"PK\6\6", 44, 45, 45, 0, 0, count, count, size, self.at) + LOCATOR.pack(b"PK\6\7", 0, self.at + size, 1) if big else b""
+        tail = END.pack(b"PK\5\6", 0, 0, _FULL16 if big else count, _FULL16 if big else count, _FULL32 if big else size, _FULL32 if big else self.at, 1)
+        return b"".join([last, *self.central, wide, tail])
+
+
+def data_name(i: int) -> str:
+    return f"archive/data-{i}.warc.gz" if i else DATA
+
+
+def package(records: list[tuple[str, bytes]], *, zip64: bool = False, each: int | None = None) -> bytes:
+    """A whole package of (key, record), ``each`` records an archive; ends with a newline, as its comment."""
+    made, step = Package(zip64=zip64), each or len(records) or 1
+    parts = [made.archive(records[i : i + step]) for i in range(0, max(len(records), 1), step)]
+    return b"\n".join([*parts, made.end(), b""])
+
+
+def opened(where: str):
+    """A seekable file: by path, or by the client that pyarrow has for the address."""
+    at = urlsplit(where)
+    if at.scheme in ("", "file"):
+        return open(unquote(at.path), "rb")  # noqa: SIM115
+    store_of, path = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", where))
+    return store_of.open_input_file(path)
+
+
+def by_range(path: str) -> bool:
+    """Whether files at ``path`` can be opened without Spark."""
+    if urlsplit(path).scheme in ("", "file"):
+        return True
+    try:
+        pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    except (OSError, ValueError):  # pyarrow has no client for it, or none that works here
+        return False
+    return True
 
 
 class Ranges:
-    """Ranges of a file that can be opened here, or of bytes at hand. Counts the bytes it reads."""
+    """Ranges of an open file, or of bytes at hand. Counts the bytes it reads."""
 
-    def __init__(self, source: str | bytes, size: int):
+    def __init__(self, source, size: int):
         self.size, self.taken = size, 0
-        self.file = open(source, "rb") if isinstance(source, str) else None  # noqa: SIM115
+        self.file = source if hasattr(source, "seek") else None
         self.data = None if self.file else source
 
     def read(self, at: int, n: int) -> bytes:
@@ -176,40 +225,30 @@ def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, web, payload
 
 
-def package(records: list[tuple[str, bytes]], *, zip64: bool = False) -> bytes:
-    """A package of (key, record); ends with a newline, as its comment."""
-    parts, index, at = [], [], 0
-    for key, raw in records:
-        squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-        packed = squeeze.compress(raw) + squeeze.flush()
-        index.append(f"{key} {at} {len(packed)}\n")
-        parts.append(packed)
-        at += len(packed)
-    return zipped([(DATA, b"".join(parts)), (INDEX, "".join(index).encode())], zip64=zip64, comment=b"\n")
-
-
 def records(r: Ranges, *, keys: set[str] | None = None):
     """Raw records of a package, each by its own range; all, or those of the index' ``keys``."""
     members = directory(r)
     place, size = members[INDEX]
     lines = r.read(member(r, place), size).decode().splitlines()
-    begin = member(r, members[DATA][0])
+    begin: dict[str, int] = {}
     for line in lines:
-        key, at, n = line.rsplit(" ", 2)
+        key, archive, at, n = line.rsplit(" ", 3)
         if keys is None or key in keys:
-            yield zlib.decompress(r.read(begin + int(at), int(n)), 31)
+            if archive not in begin:
+                begin[archive] = member(r, members[data_name(int(archive))][0])
+            yield zlib.decompress(r.read(begin[archive] + int(at), int(n)), 31)
 
 
 def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write a package for each task's pages at ``path``."""
     rows = pages.select(pages[key].cast("long").alias("key"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
-    groups = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    groups = store.written(groups, "repeated-payloads")
-    if groups.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        groups = F.broadcast(groups)
+    groups = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = store.written(groups.withColumnRenamed("digest", "same"), "repeated-payloads")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    rows = rows.join(groups, "digest", "left")
+    # payloads below MIN_REVISIT have nothing to meet: each has a key of its own
+    rows = rows.withColumn("same", F.when(F.col("size") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("key").cast("string"), F.col("url"), F.lit("")))))
+    rows = store.joined(rows, groups, ["same"], "n")
     revisit = (F.col("size") >= MIN_REVISIT) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     rows = rows.select("key", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
     tasks = pages.rdd.getNumPartitions()
@@ -217,12 +256,19 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
         rows = rows.repartition(-(-total // PACKAGE_BYTES))
 
     def run(batches):
-        held = []
+        made, held, size = Package(), [], 0
         for b in batches:
-            for page, link, text, size, digest, refers_to, again in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                held.append((str(page), record(page, link, None if text is None else text.encode(), size, digest, refers_to, again)))
+            for i in range(b.num_rows):  # one page at a time: a batch's pages may be long
+                page, link, text, n, digest, refers_to, again = (c[i].as_py() for c in b.columns)
+                held.append((str(page), record(page, link, None if text is None else text.encode(), n, digest, refers_to, again)))
+                size += len(held[-1][1])
+                if size >= PACKAGE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([made.archive(held)], pa.binary())], names=["package"])
+                    held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([package(held)[:-1]], pa.binary())], names=["package"])
+            yield pa.RecordBatch.from_arrays([pa.array([made.archive(held)], pa.binary())], names=["package"])
+        if made.archives:
+            yield pa.RecordBatch.from_arrays([pa.array([made.end()], pa.binary())], names=["package"])
 
     store.write_blobs(rows.mapInArrow(run, "package binary"), "package", path)
 
@@ -231,14 +277,14 @@ def read(spark: SparkSession, path: str, *, key: str = "page_id") -> DataFrame:
     """(key, payload_bytes, payload_digest, record_type, refers_to) of each record of the packages at
     ``path``; a response's are taken from its payload, a revisit's from its heads."""
     files = store.blobs(spark, path)
-    local = urlsplit(path).scheme in ("", "file")
-    files = files.select("path", "length") if local else files.select("content", "length")
+    ranges = by_range(path)
+    files = files.select("path" if ranges else "content", "length")
     kinds = f"`{key}` long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def run(batches):
         for b in batches:
             for where, size in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                r = Ranges(unquote(urlsplit(where.as_py()).path) if local else where.as_py(), size)
+                r = Ranges(opened(where.as_py()) if ranges else where.as_py(), size)
                 out = []
                 for raw in records(r):
                     fields, web, payload = parsed(raw)
