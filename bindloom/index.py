@@ -1,12 +1,15 @@
 """A project as tables: what extraction, binding and derivation leave behind, full or step by step.
 
-Tables lie below a folder, one Parquet table each, all with ``project_id`` as partition column, so that
-many projects share them and a query for one reads its own files only. A run writes every table anew for
-its project; readers of the tables before see whole files, never half of a run.
+Tables lie below a folder, one Parquet table each, below it a folder a project and a run. A run writes its
+tables anew, each beside the one before, and then one small file that names the run of every table. Readers
+follow the latest such file, so they see all of a run or nothing of it; a run that fails changes nothing. The
+run before stays readable until the next one ends.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +31,54 @@ class Project:
     folder: str
     project_id: str
 
-    def _path(self, table: str) -> str:
-        return f"{self.folder.rstrip('/')}/{table}"
+    def _path(self, *parts: str) -> str:
+        return "/".join([self.folder.rstrip("/"), *parts])
+
+    def _pointers(self) -> list[str]:
+        """Names of the project's pointer files, oldest first."""
+        p, fs = storage._file_system(self.spark, self._path("current", self.project_id))
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _current(self) -> tuple[str, dict[str, str]]:
+        """(mark, run of each table); ('', {}) before the first run. A file that is still being written is passed over."""
+        for name in reversed(self._pointers()):
+            body = storage.read_text(self.spark, self._path("current", self.project_id, name))
+            if body.endswith("}"):
+                return name, json.loads(body)
+        return "", {}
+
+    def stored(self, table: str) -> bool:
+        return table in self._current()[1]
 
     def has(self, table: str = "registry") -> bool:
-        p, fs = storage._file_system(self.spark, self._path(table))
-        return bool(fs.exists(p)) and not self.table(table).isEmpty()
+        return self.stored(table) and not self.table(table).isEmpty()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name)).where(F.col("project_id") == self.project_id).drop("project_id")
+        runs = self._current()[1]
+        if name not in runs:
+            raise LookupError(f"{self.project_id} has no table {name} yet")
+        return self.spark.read.parquet(self._path(name, f"project_id={self.project_id}", f"run={runs[name]}")).drop("project_id", "run")
+
+    def write(self, tables: dict[str, DataFrame]) -> None:
+        """Write tables as one run and then make it the current one of each."""
+        mark, runs = self._current()
+        run = uuid.uuid4().hex
+        for name, df in tables.items():
+            df.write.parquet(self._path(name, f"project_id={self.project_id}", f"run={run}"))
+        new = f"{int(mark.partition('-')[0] or 0) + 1:012d}-{run}"
+        storage.write_text(self.spark, self._path("current", self.project_id, new), json.dumps(runs | dict.fromkeys(tables, run)))
+        self._tidy(runs, set(tables))
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        """A result is written aside first: it may read the table that it replaces."""
-        held = storage.snapshot(df, name)
-        held.write.mode("overwrite").parquet(f"{self._path(name)}/project_id={self.project_id}")
+    def _tidy(self, before: dict[str, str], names: set[str]) -> None:
+        """Remove pointers and runs that are neither current nor the ones before."""
+        now = self._current()[1]
+        for old in self._pointers()[:-2]:
+            storage.remove(self.spark, self._path("current", self.project_id, old))
+        for name in names:
+            p, fs = storage._file_system(self.spark, self._path(name, f"project_id={self.project_id}"))
+            for x in fs.listStatus(p):
+                if x.getPath().getName() not in (f"run={now[name]}", f"run={before.get(name)}"):
+                    fs.delete(x.getPath(), True)
 
     def index(self, tree: DataFrame, *, tier: str = "balanced", force: bool = False) -> dict:
         """Bring the tables up to ``tree`` (as ``files.read_tree`` gives it). Unchanged files keep their rows;
@@ -86,19 +123,23 @@ class Project:
             prints = shapes.next_generation(self.table("fingerprints"), prints, generation)
             deletions = verdict.recorded(self.table("deletions"), before, nodes)
         counts = nodes.groupBy("file_path").agg(F.count("*").alias("node_count"))
-        self._write("fingerprints", prints)
-        self._write("deletions", deletions)
-        self._write("nodes", nodes)
-        self._write("edges", bound)
-        self._write("contains", contains)
-        self._write("file_metadata", listed.join(counts, "file_path", "left").na.fill(0, ["node_count"]))
         stats = resolve.stats(bound, nodes).first().asDict()
         stats |= {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}  # four kinds of change
         stats |= {"generation": generation, "failed": files.failures(rows).count(), "nodes": nodes.count()}
         registry = self.spark.createDataFrame([(generation, stats["nodes"], stats["considered"])], "generation long, node_count long, edge_count long")
-        self._write("registry", registry.withColumn("last_indexed_at", F.current_timestamp()))
+        self.write(
+            {
+                "fingerprints": prints,
+                "deletions": deletions,
+                "nodes": nodes,
+                "edges": bound,
+                "contains": contains,
+                "file_metadata": listed.join(counts, "file_path", "left").na.fill(0, ["node_count"]),
+                "registry": registry.withColumn("last_indexed_at", F.current_timestamp()),
+            }
+        )
         return stats
 
     def mark(self) -> str:
         """Changes with each run: what caches are keyed by."""
-        return storage.watermark(self.spark, f"{self._path('registry')}/project_id={self.project_id}")
+        return self._current()[0]

@@ -97,6 +97,20 @@ def cycles(sub_edges: DataFrame) -> DataFrame:
     return sub_edges.where("from_sub < to_sub").join(back, ["from_sub", "to_sub"]).select(F.col("from_sub").alias("sub_a"), F.col("to_sub").alias("sub_b"), F.col("channels").alias("a_to_b"), "b_to_a")
 
 
+def cycle_files(bound: DataFrame, nodes: DataFrame, owner: DataFrame, file_refs: DataFrame | None = None) -> DataFrame:
+    """(sub_a, sub_b, file_a, file_b): files that refer to each other across two subsystems, file_a of sub_a."""
+    e = _between(bound, nodes, owner, file_refs).where("from_sub <> to_sub").select("from_sub", "to_sub", "from_file", "to_file").distinct()
+    back = e.select(F.col("to_sub").alias("from_sub"), F.col("from_sub").alias("to_sub"), F.col("to_file").alias("from_file"), F.col("from_file").alias("to_file"))
+    both = e.where("from_sub < to_sub").join(back, ["from_sub", "to_sub", "from_file", "to_file"], "left_semi")
+    return both.select(F.col("from_sub").alias("sub_a"), F.col("to_sub").alias("sub_b"), F.col("from_file").alias("file_a"), F.col("to_file").alias("file_b"))
+
+
+def overlay(placement: DataFrame, items: DataFrame) -> DataFrame:
+    """(subsystem, item_id, status, touches): items in each subsystem, with how many of their touches lie there."""
+    per = placement.where("subsystem is not null").groupBy("subsystem", "item_id").agg(F.count("*").alias("touches"))
+    return per.join(items.select("item_id", "status"), "item_id").select("subsystem", "item_id", "status", "touches")
+
+
 def top_hubs(degrees: DataFrame, owner: DataFrame, k: int = 3) -> DataFrame:
     """(subsystem, place, node_id, name, file_path, total): its ``k`` definitions of highest degree, if any.
     The rank filter is pushed into a partial top-k before the shuffle."""
@@ -127,9 +141,11 @@ def place_paths(paths: DataFrame, owner: DataFrame) -> DataFrame:
     return p.join(found.select("path", F.coalesce("exact", "above", "top").alias("subsystem")), "path")
 
 
-def place_touches(touches: DataFrame, nodes: DataFrame, owner: DataFrame) -> DataFrame:
+def place_touches(touches: DataFrame, nodes: DataFrame, owner: DataFrame, disk: DataFrame | None = None) -> DataFrame:
     """(item_id, ordinal, selector, raw, subsystem, cause): subsystems that each touch lies in, one row each;
-    without any, the cause. Symbols here may be given by any suffix of their qualified name."""
+    without any, the cause: no_definition of a symbol; a file or glob that the working tree ``disk`` (file_path)
+    has, though no subsystem does, is outside_indexed_tree, any other not_on_disk. Symbols here may be given by
+    any suffix of their qualified name."""
     from .roadmap import TOUCH, known_files, matched_globs
 
     t = touches.select(*TOUCH)
@@ -144,5 +160,13 @@ def place_touches(touches: DataFrame, nodes: DataFrame, owner: DataFrame) -> Dat
     deep = s.where(F.contains("norm", F.lit("::"))).join(ends, ["norm", "name"]).select(*TOUCH, "path")
     placed = place_paths(paths.unionByName(globs).unionByName(bare).unionByName(deep), owner).where("subsystem is not null").select(*TOUCH, "subsystem").distinct()
     rest = t.join(placed.select(*TOUCH), TOUCH, "left_anti")
-    cause = F.when(F.col("selector") == "symbol", "no_definition").otherwise("not_on_disk")
+    there = rest.select(*TOUCH).limit(0)
+    if disk is not None:
+        path = rest.withColumn("path", names.repo_path(F.col("raw")))
+        by_file = path.where("selector = 'file'").join(disk.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi").select(*TOUCH)
+        wide = path.where("selector = 'glob'").withColumnRenamed("path", "pattern")
+        by_glob = wide.join(matched_globs(wide, known_files(nodes, disk)).select("pattern").distinct(), "pattern", "left_semi").select(*TOUCH)
+        there = by_file.unionByName(by_glob)
+    rest = rest.join(there.distinct().withColumn("there", F.lit(True)), TOUCH, "left")
+    cause = F.when(F.col("selector") == "symbol", "no_definition").when(F.col("there"), "outside_indexed_tree").otherwise("not_on_disk")
     return placed.withColumn("cause", F.lit(None).cast("string")).unionByName(rest.select(*TOUCH, F.lit(None).cast("string").alias("subsystem"), cause.alias("cause")))

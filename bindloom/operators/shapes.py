@@ -64,3 +64,9 @@ def delta(shifted: DataFrame) -> DataFrame:
     gone = rows.join(went.withColumn("moved", F.lit(True)), KEY, "left").where("not (state = 'removed' and coalesce(moved, false))").drop("moved")
     out = gone.join(came, KEY, "left")
     return out.select(*KEY, F.when(F.col("renamed_from").isNotNull(), "preserved").otherwise(F.col("state")).alias("state"), "renamed_from")
+
+
+def stats(shifted: DataFrame) -> DataFrame:
+    """One row: symbols that have a shape, how many of them changed or were added, how many are gone, generation."""
+    new, old = F.col("hash").isNotNull(), F.col("prev_hash").isNotNull()
+    return shifted.agg(F.count_if(new).alias("symbols"), F.count_if(new & old & (F.col("hash") != F.col("prev_hash"))).alias("changed"), F.count_if(new & ~old).alias("added"), F.count_if(~new & old).alias("removed"), F.max("generation").alias("generation"))

@@ -68,6 +68,12 @@ def call_chain(bound: DataFrame, nodes: DataFrame, name: str, depth: int = 3) ->
     return c.withColumnRenamed("node_id", "callee_id").join(a, "caller_id").join(b, "callee_id").select("root_id", "depth", "caller_id", "caller_name", "caller_file", "callee_id", "callee_name", "callee_file")
 
 
+def ambiguous_calls(bound: DataFrame, nodes: DataFrame, name: str, depth: int = 3) -> DataFrame:
+    """Ambiguous calls of what functions of a name lead to, one step deeper than their source."""
+    found = reach(named_roots(nodes, name, functions_only=True), links(bound, ("calls",)), depth)
+    return ambiguous_of(found, bound, depth, ("calls",))
+
+
 def dependencies(bound: DataFrame, nodes: DataFrame, name: str, depth: int = 3) -> DataFrame:
     """What definitions of a name depend on."""
     return described(reach(named_roots(nodes, name), links(bound), depth), nodes)

@@ -348,3 +348,13 @@ def rename_pairs(g: Graph) -> DataFrame:
 )
 def structural_delta(g: Graph) -> DataFrame:
     return shapes.delta(_shifted(g))
+
+
+@query(o.plain(f"{_twice()}, {_SHIFT}", "SELECT count(hash) AS symbols, count(*) FILTER (WHERE hash <> prev_hash) AS changed, count(*) FILTER (WHERE hash IS NOT NULL AND prev_hash IS NULL) AS added, count(*) FILTER (WHERE hash IS NULL AND prev_hash IS NOT NULL) AS removed, max(generation) AS generation FROM shifted"))
+def fingerprint_stats(g: Graph) -> DataFrame:
+    return shapes.stats(_shifted(g))
+
+
+@query(o.recursive(f"{o.LINKS.replace(chr(39) + 'calls' + chr(39) + ', ' + chr(39) + 'member_of' + chr(39) + ', ' + chr(39) + 'implements' + chr(39), chr(39) + 'calls' + chr(39))}, {o.walk(NAME, DEPTH, False, True)}", f"SELECT root_id, edge_id, from_id, to_name, to_type, n_candidates, depth + 1 AS depth FROM bound JOIN reached ON node_id = from_id WHERE confidence = 'AMBIGUOUS' AND edge_type = 'calls' AND depth < {DEPTH}"))
+def call_chain_ambiguous(g: Graph) -> DataFrame:
+    return traverse.ambiguous_calls(g.bound, g.nodes, NAME, DEPTH)

@@ -172,6 +172,11 @@ def subsystem_cycles(g: Graph) -> DataFrame:
     return landscape.cycles(landscape.edges(g.bound, g.nodes, _owner(g)))
 
 
+@query(o.plain(_SUBS, "SELECT DISTINCT a.x AS sub_a, a.y AS sub_b, a.from_file AS file_a, a.to_file AS file_b FROM across a JOIN across b ON b.from_file = a.to_file AND b.to_file = a.from_file WHERE a.x < a.y"))
+def subsystem_cycle_files(g: Graph) -> DataFrame:
+    return landscape.cycle_files(g.bound, g.nodes, _owner(g))
+
+
 @query(o.plain(f"{o.GRAPH}, {_DEGREES}, {_PART}", "SELECT subsystem, row_number() OVER (PARTITION BY subsystem ORDER BY total DESC, name, file_path, node_id) AS place, node_id, name, file_path, total FROM deg JOIN owner USING (file_path) WHERE total > 0 QUALIFY place <= 3"))
 def hubs_per_subsystem(g: Graph) -> DataFrame:
     return landscape.top_hubs(metrics.degrees(g.nodes, g.refs), _owner(g))
@@ -182,13 +187,42 @@ def most_coupled_file(g: Graph) -> DataFrame:
     return landscape.most_coupled(metrics.coupling(g.nodes, g.refs, limit=None), _owner(g))
 
 
+_PLACED = f"""{_PLAN}, {_PART}, lies AS (SELECT item_id, ordinal, selector, raw, regexp_replace(raw, '^\\./', '') AS path FROM touches WHERE selector = 'file' UNION ALL SELECT item_id, ordinal, selector, raw, to_id FROM tg WHERE to_id IS NOT NULL
+UNION ALL SELECT item_id, ordinal, selector, raw, n.file_path FROM touches t JOIN nodes n ON n.node_type <> 'import' AND n.name = string_split(raw, '::')[-1] AND (NOT contains(raw, '::') OR n.qualified_name = raw OR ends_with(n.qualified_name, '::' || raw)) WHERE selector = 'symbol'),
+placed AS (SELECT DISTINCT item_id, ordinal, selector, raw, coalesce(w.subsystem, (SELECT arg_max(subsystem, length(subsystem)) FROM owner v WHERE starts_with(path, v.subsystem || '/'))) AS subsystem FROM lies LEFT JOIN owner w ON w.file_path = path)"""
+
+
 @query(
     o.plain(
-        f"""{_PLAN}, {_PART}, lies AS (SELECT item_id, ordinal, selector, raw, regexp_replace(raw, '^\\./', '') AS path FROM touches WHERE selector = 'file' UNION ALL SELECT item_id, ordinal, selector, raw, to_id FROM tg WHERE to_id IS NOT NULL
-UNION ALL SELECT item_id, ordinal, selector, raw, n.file_path FROM touches t JOIN nodes n ON n.node_type <> 'import' AND n.name = string_split(raw, '::')[-1] AND (NOT contains(raw, '::') OR n.qualified_name = raw OR ends_with(n.qualified_name, '::' || raw)) WHERE selector = 'symbol'),
-placed AS (SELECT DISTINCT item_id, ordinal, selector, raw, coalesce(w.subsystem, (SELECT arg_max(subsystem, length(subsystem)) FROM owner v WHERE starts_with(path, v.subsystem || '/'))) AS subsystem FROM lies LEFT JOIN owner w ON w.file_path = path)""",
+        _PLACED,
         "SELECT item_id, ordinal, selector, raw, p.subsystem, CASE WHEN p.subsystem IS NULL THEN CASE selector WHEN 'symbol' THEN 'no_definition' ELSE 'not_on_disk' END END AS cause FROM touches LEFT JOIN (SELECT * FROM placed WHERE subsystem IS NOT NULL) p USING (item_id, ordinal, selector, raw)",
     )
 )
 def touch_placement(g: Graph) -> DataFrame:
     return landscape.place_touches(source.projected(g.spark, g.sf_dir)[2], g.nodes, _owner(g))
+
+
+#: Part of the tree whose files count as on disk but not indexed, for the query below.
+OUTSIDE = "src/promo/"
+
+
+def _inside(g: Graph) -> DataFrame:
+    return g.nodes.where(~g.nodes["file_path"].startswith(OUTSIDE))
+
+
+@query(
+    o.plain(
+        _PLACED.replace("FROM nodes))", f"FROM nodes WHERE NOT starts_with(file_path, '{OUTSIDE}')))").replace("JOIN nodes n ON n.node_type <> 'import' AND n.name", f"JOIN nodes n ON n.node_type <> 'import' AND NOT starts_with(n.file_path, '{OUTSIDE}') AND n.name").replace("FROM tg WHERE to_id IS NOT NULL", f"FROM tg WHERE to_id IS NOT NULL AND NOT starts_with(to_id, '{OUTSIDE}')"),
+        f"SELECT item_id, ordinal, selector, raw, p.subsystem, CASE WHEN p.subsystem IS NULL THEN CASE WHEN selector = 'symbol' THEN 'no_definition' WHEN EXISTS (SELECT 1 FROM bt WHERE bt.item_id = t.item_id AND bt.ordinal = t.ordinal AND bt.selector = t.selector AND bt.raw = t.raw AND bt.to_id IS NOT NULL) THEN 'outside_indexed_tree' ELSE 'not_on_disk' END END AS cause FROM touches t LEFT JOIN (SELECT * FROM placed WHERE subsystem IS NOT NULL) p USING (item_id, ordinal, selector, raw)",
+    )
+)
+def touch_placement_outside(g: Graph) -> DataFrame:
+    """As if the files of OUTSIDE were on disk and not indexed."""
+    nodes = _inside(g)
+    return landscape.place_touches(source.projected(g.spark, g.sf_dir)[2], nodes, landscape.partition(nodes.select("file_path")), g.nodes.select("file_path").distinct())
+
+
+@query(o.plain(_PLACED, "SELECT p.subsystem, p.item_id, i.status, count(*) AS touches FROM placed p JOIN items i USING (item_id) WHERE p.subsystem IS NOT NULL GROUP BY ALL"))
+def subsystem_overlay(g: Graph) -> DataFrame:
+    p = Plan(g)
+    return landscape.overlay(landscape.place_touches(p.touches, g.nodes, _owner(g)), p.items)

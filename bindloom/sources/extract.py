@@ -13,6 +13,7 @@ import bisect
 import hashlib
 import re
 import struct
+from collections import Counter
 from dataclasses import dataclass, field
 
 LIMIT = 2000
@@ -34,6 +35,7 @@ class Definition:
     qualified_name: str = ""
 
 
+# Fixed value: the layout of an id's input and its length, equal across tools that share a graph.
 def node_id(project: str, path: str, name: str, kind: str, line: int | None) -> str:
     raw = f"{project}|{path}|{name}|{kind}|".encode() + struct.pack("<I", line or 0)
     return hashlib.sha256(raw).hexdigest()[:32]
@@ -316,5 +318,9 @@ def extract(project: str, path: str, language: str, text: str, tier: str = "bala
         for d in found
     ]
     keys = ("from_id", "to_id", "to_name", "to_type", "edge_type")
-    rows = [dict(zip(keys, e, strict=True)) | {"project_id": project, "confidence": "EXTRACTED" if e[1] else "INFERRED"} for e in edges if not re.search(r"[\r\n]", e[2] or "")]
+    rows, met = [], Counter()
+    for e in edges:
+        if not re.search(r"[\r\n]", e[2] or ""):
+            rows.append(dict(zip(keys, e, strict=True)) | {"project_id": project, "confidence": "EXTRACTED" if e[1] else "INFERRED", "occurrence": met[e]})
+            met[e] += 1
     return nodes, rows

@@ -15,7 +15,7 @@ from . import extract
 
 SKIPPED = ("node_modules", "target", "build", "dist", "vendor", "__pycache__")
 NODE = "project_id string, node_id string, name string, node_type string, language string, file_path string, start_line int, end_line int, content string, metadata map<string,string>, qualified_name string"
-EDGE = "edge_id string, project_id string, from_id string, to_id string, to_name string, to_type string, edge_type string, confidence string"
+EDGE = "edge_id string, project_id string, from_id string, to_id string, to_name string, to_type string, edge_type string, confidence string, occurrence int"
 
 
 def skipped(path: str) -> bool:
@@ -38,15 +38,19 @@ def discover(root: str, every_type: bool = False) -> list[str]:
 
 def read_tree(spark: SparkSession, root: str, languages: list[str] | None = None, listed: list[str] | None = None) -> DataFrame:
     """(file_path, language, content_hash, file_size, text) of the source files below ``root``, read by the
-    cluster from any store. ``listed``: relative paths that count, as ``discover`` gives them."""
+    cluster from any store. ``listed``: relative paths that count, as ``discover`` gives them.
+
+    Files are chosen by path while they are listed, so nothing of skipped folders or other types is opened."""
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.expr(f"substring_index(path, '{base.rsplit('/', 1)[-1]}/', -1)") if listed is None else F.col("path"), f"^.*?{_literal(base)}/", "")
-    files = files.withColumn("file_path", path).withColumn("language", names.language_of(F.col("file_path"))).where("language is not null")
-    segments = F.split("file_path", "/")
-    files = files.where(~F.exists(segments, lambda s: s.isin(*SKIPPED) | s.startswith(".")))
+    suffixes = "{" + ",".join(sorted({x for e in names.EXTENSIONS for x in (e, e.upper())})) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffixes}").load(base)
+    place = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(place, f"^.*?{_literal(base.partition(':')[2].lstrip('/') if ':' in base else base.lstrip('/'))}/", "")
+    hidden = path.rlike(rf"(^|/)({'|'.join(SKIPPED)}|\.[^/]*)(/|$)")
+    files = files.where(~hidden).withColumn("file_path", path).withColumn("language", names.language_of(F.col("file_path"))).where("language is not null")
     if listed is not None:
-        files = files.join(F.broadcast(spark.createDataFrame([(p,) for p in listed], "file_path string")), "file_path", "left_semi") if len(listed) < 100_000 else files.join(spark.createDataFrame([(p,) for p in listed], "file_path string"), "file_path", "left_semi")
+        known = spark.createDataFrame([(p,) for p in listed], "file_path string")
+        files = files.join(F.broadcast(known) if len(listed) < 100_000 else known, "file_path", "left_semi")
     if languages:
         files = files.where(F.col("language").isin([x.lower() for x in languages]))
     return files.select("file_path", "language", F.sha2("content", 256).alias("content_hash"), F.col("length").alias("file_size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
@@ -83,10 +87,11 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 def edges_of(rows: DataFrame) -> DataFrame:
-    """Edges, each reference once for each source, name, type and kind."""
-    e = rows.where("kind = 'edge'").select(F.from_json("body", EDGE.removeprefix("edge_id string, ")).alias("r")).select("r.*").distinct()
-    key = F.md5(F.concat_ws("|", "from_id", F.coalesce("to_name", F.col("to_id")), F.coalesce("to_type", F.lit("")), "edge_type"))
-    return e.select(key.alias("edge_id"), *e.columns)
+    """Edges, each reference as often as it is written; equal ones are told apart by their number."""
+    e = rows.where("kind = 'edge'").select(F.from_json("body", EDGE.removeprefix("edge_id string, ")).alias("r")).select("r.*")
+    again = F.when(F.col("occurrence") > 0, F.col("occurrence").cast("string"))
+    key = F.md5(F.concat_ws("|", "from_id", F.coalesce("to_name", F.col("to_id")), F.coalesce("to_type", F.lit("")), "edge_type", again))
+    return e.select(key.alias("edge_id"), *[c for c in e.columns if c != "occurrence"])
 
 
 def failures(rows: DataFrame) -> DataFrame:

@@ -31,6 +31,31 @@ def _file_system(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, as text."""
+    p, fs = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that must not be there yet."""
+    p, fs = _file_system(spark, path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def snapshot(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: later plans start there, with statistics and pushdown,
     and a lost executor costs no recomputation of what came before."""
