@@ -272,7 +272,7 @@ def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, k
 
     def run(batches):
         c = codec(tokenizer, lexicon)
-        for b in bpe.parts(batches, 0):
+        for b in bpe.parts(batches, 0, 2 << 20):
             ids, at = c.encode(b.column(0))
             wide, texts = memoryview(ids.astype("<u4").tobytes()), c.decode(ids, at)
             each = [hashlib.sha256(wide[4 * i : 4 * j]).hexdigest() for i, j in zip(at, at[1:], strict=False)]

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are hashed at a time.
+BLOCK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20_240_611))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -30,14 +32,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base and of its inverse, grown as texts need them."""
+    """Powers of the base and of its inverse, as many as the longest block so far needs: a worker keeps them."""
 
     def __init__(self):
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = (n + 0xFFFF) // 0x10000 * 0x10000
             for name, factor in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(size, factor, np.uint64)
                 steps[0] = 1
@@ -56,8 +58,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out, counts = [], np.zeros(len(lower) + 1, np.int64)
     data = np.frombuffer(lower.buffers()[2], np.uint8) if lower.buffers()[2] is not None else np.empty(0, np.uint8)
     i = 0
-    while i < len(lower):  # blocks of some 4 MB, a long text alone
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (4 << 20), side="right")) - 1)
+    while i < len(lower):  # blocks of some 1 MB, a long text alone
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
         block, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         inside = _WORD[block]
         first, last = inside.copy(), inside.copy()
