@@ -121,3 +121,27 @@ def _quoted(text: str) -> str:
 
 def _segment(p: str) -> str:
     return "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else _quoted(c) for c in p)
+
+
+# Offset and prime of the 64-bit FNV-1a hash.
+FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv1a64(data: bytes) -> int:
+    """64-bit FNV-1a of bytes."""
+    h = FNV_OFFSET
+    for b in data:
+        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def fnv1a64_of(text: Column) -> Column:
+    """The hash of a text's UTF-8 as 16 hexadecimal digits. Spark's own integers do not wrap around, so
+    batches go through Arrow."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def hashed(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else f"{fnv1a64(t.encode()):016x}")
+
+    return hashed(text)

@@ -24,7 +24,7 @@ def label(text: str) -> str:
 def heaviest(edges: DataFrame, k: int = EDGES) -> DataFrame:
     """The ``k`` edges of most channels out of each subsystem."""
     w = Window.partitionBy("from_sub").orderBy(F.desc("channels"), "to_sub")
-    return edges.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).drop("__k")
+    return edges.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
 
 
 def _rows(df: DataFrame, *order: str) -> list[dict]:
@@ -73,3 +73,52 @@ def brief(placement: DataFrame, items: DataFrame) -> str:
     top = per.withColumn("k", F.row_number().over(w)).groupBy("subsystem").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= LINKS, F.col("item_id")))).alias("ids"))
     rows = top.orderBy(F.desc("n"), "subsystem").limit(BRIEF).collect()
     return "\n".join(f"{r['subsystem']}: {', '.join(r['ids'])}" + (f" and {r['n'] - LINKS} more" if r["n"] > LINKS else "") for r in rows) + "\n"
+
+
+def truncated(text: str, limit: int) -> str:
+    """At most ``limit`` characters, the last one a sign of what is left out."""
+    return text if len(text) <= limit else text[: limit - 1].rstrip() + "\u2026"
+
+
+def demoted(markdown_text: str, by: int = 1) -> str:
+    """Headings ``by`` levels deeper, at most six; code blocks stay."""
+    out, code = [], False
+    for line in markdown_text.split("\n"):
+        code ^= line.lstrip().startswith("```")
+        head = re.match(r"#+(?= )", line)
+        out.append("#" * (min(6, len(head[0]) + by) - len(head[0])) + line if head and not code else line)
+    return "\n".join(out)
+
+
+def dot_escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace('"', '\\"')
+
+
+#: Caps of the index of paths: files, items of each, characters of a title.
+INDEX_FILES, INDEX_ITEMS, INDEX_CHARS = 20, 6, 60
+
+
+def path_index(bound: DataFrame, items: DataFrame, nodes: DataFrame) -> str:
+    """Files that open items touch, those of most items first."""
+    live = items.where("status in ('planned', 'active')").select("item_id")
+    t = bound.where("confidence = 'RESOLVED'").join(live, "item_id", "left_semi")
+    own = t.where("selector <> 'symbol'").select("item_id", F.col("to_id").alias("file_path"))
+    at = t.where("selector = 'symbol'").join(nodes.select(F.col("node_id").alias("to_id"), "file_path"), "to_id").select("item_id", "file_path")
+    w = Window.partitionBy("file_path").orderBy("item_id")
+    per = own.unionByName(at).distinct().withColumn("k", F.row_number().over(w))
+    top = per.groupBy("file_path").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= INDEX_ITEMS, F.col("item_id")))).alias("ids"))
+    rows = top.orderBy(F.desc("n"), "file_path").limit(INDEX_FILES + 1).collect()
+    out = [f"- {truncated(r['file_path'], INDEX_CHARS)}: {', '.join(r['ids'])}" + (f" and {r['n'] - INDEX_ITEMS} more" if r["n"] > INDEX_ITEMS else "") for r in rows[:INDEX_FILES]]
+    return "\n".join(out + (["- and more"] if len(rows) > INDEX_FILES else [])) + "\n"
+
+
+def context(project: str, parts: dict[str, DataFrame], placement: DataFrame | None = None, bound: DataFrame | None = None, items: DataFrame | None = None, nodes: DataFrame | None = None) -> str:
+    """One document for who comes new to a project: its subsystems, what runs between them, hubs, and open work."""
+    body = markdown(parts["metrics"], parts["edges"], parts["cycles"])
+    out = [f"# {label(project)}", "", demoted(body).strip(), "", "## Hubs", ""]
+    out += [f"- {label(r['subsystem'])}: {label(r['name'])} in {r['file_path']} ({r['total']})" for r in _rows(parts["hubs"], "subsystem", "place")] or ["none"]
+    if placement is not None and items is not None:
+        out += ["", "## Open work by subsystem", "", brief(placement, items).strip() or "none"]
+    if bound is not None and items is not None and nodes is not None:
+        out += ["", "## Open work by file", "", path_index(bound, items, nodes).strip() or "none"]
+    return "\n".join(out) + "\n"

@@ -164,6 +164,106 @@ CALL = re.compile(r"(?P<callee>[A-Za-z_$][\w$]*(?:(?:::|\.|->)[A-Za-z_$][\w$]*)*
 MACRO = re.compile(r"\b(?P<name>\w+)!\s*[(\[{]")
 
 
+def closed(plain: str, at: int, pair: str = "()") -> int:
+    """Place after the bracket that closes the one at ``at``; the text's end if none does."""
+    depth = 0
+    for i in range(at, len(plain)):
+        depth += (plain[i] == pair[0]) - (plain[i] == pair[1] and not (pair == "<>" and plain[i - 1] in "-="))
+        if not depth:
+            return i + 1
+    return len(plain)
+
+
+def _one_line(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _members(plain: str, text: str, d: Definition, pattern: str) -> list[str]:
+    """Names that ``pattern`` finds right inside a definition's braces, not deeper."""
+    open_at = plain.find("{", d.start, d.end)
+    if open_at < 0:
+        return []
+    flat, depth = [], 0
+    for c in plain[open_at : d.end]:
+        depth -= c in "})]"
+        flat.append(c if depth == 1 or c == "\n" else " ")
+        depth += c in "{(["
+    return list(dict.fromkeys(m["name"] for m in re.finditer(pattern, "".join(flat), re.M)))
+
+
+#: Fields and variants inside braces, by language.
+FIELDS = {"rust": r"(?:^|[,{\n])\s*(?:pub\s*)?(?P<name>\w+)\s*:(?!:)", "go": r"^\s*(?P<name>\w+)\s+[\w*\[.]", "c": r"(?P<name>\w+)\s*;", "java": r"(?P<name>\w+)\s*(?:=[^;]*)?;", "typescript": r"(?:^|[;,{\n])\s*(?:readonly\s+|public\s+|private\s+|protected\s+|static\s+)*(?P<name>\w+)[?!]?\s*:"}
+FIELDS["cpp"], FIELDS["javascript"] = FIELDS["c"], FIELDS["typescript"]
+VARIANTS = r"(?:^|[,{\n]|^\s*)\s*(?P<name>[A-Za-z_]\w*)\s*(?=[,;=(){}\s]|$)"
+CONSTANTS = r"\bstatic\s+final\s+[\w<>.]+\s+(?P<name>\w+)\s*="
+
+
+def describe(language: str, d: Definition, plain: str, text: str) -> None:
+    """What a definition's header and body tell beyond its name: parameters, result, generics, fields, variants, bases."""
+    at = re.compile(rf"\b{re.escape(d.name)}\b").search(plain, d.start)
+    if at is None or d.node_type in ("import", "macro_call", "module", "object"):
+        return
+    here = at.end()
+    if d.node_type == "impl":
+        return
+    gap = len(plain[here:]) - len(plain[here:].lstrip())
+    opener = plain[here + gap : here + gap + 1]
+    if opener == "<" or opener == "[" and language == "go":
+        end = closed(plain, here + gap, "<>" if opener == "<" else "[]")
+        d.meta["generics"] = _one_line(text[here + gap + 1 : end - 1])
+        here = end
+    rest = plain[here:]
+    stop = here + min([i for i in (rest.find("{"), rest.find(";"), rest.find("=>")) if i >= 0], default=len(rest))
+    if d.node_type == "function":
+        paren = plain.find("(", here)
+        if paren >= 0 and (paren <= stop or language in ("typescript", "javascript")):
+            end = closed(plain, paren)
+            d.meta["parameters"] = _one_line(text[paren + 1 : end - 1])
+            tail = plain[end:]
+            stop = end + min([i for i in (tail.find("{"), tail.find(";"), tail.find("=>")) if i >= 0], default=len(tail))
+            after = _one_line(text[end:stop])
+            if language == "rust":
+                found = re.match(r"->\s*(.+?)(?:\s+where\b.*)?$", after)
+                after = found[1] if found else ""
+            elif language in ("typescript", "javascript"):
+                after = after[1:].strip() if after.startswith(":") else ""
+            elif language in ("java", "c", "cpp"):
+                line = plain.rfind("\n", 0, at.start()) + 1
+                before = re.split(r"[;{}]", text[max(line, d.start if language != "java" else line) : at.start()])[-1]
+                words = [w for w in re.sub(r"@\w+(\([^)]*\))?", " ", before).split() if w not in ("public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "inline", "extern", "virtual", "default")]
+                after = re.sub(r"\s*(\w+::)+$", "", " ".join(words))
+            if after:
+                d.meta["return_type"] = after
+    lead = plain[max(0, d.start - 80) : d.start]
+    if language == "rust":
+        words = re.search(r"((?:(?:pub(?:\([^)]*\))?|async|unsafe|const|extern)\s+)*)$", lead)[1]
+        for word in ("async", "unsafe", "const"):
+            if re.search(rf"\b{word}\b", words) and d.node_type in ("function", "trait"):
+                d.meta[word] = "true"
+        derived = re.search(r"#\[derive\(([^)]*)\)\](?:\s*#\[[^\]]*\])*\s*(?:pub(?:\([^)]*\))?\s+)?$", plain[max(0, d.start - 400) : d.start])
+        if derived:
+            d.meta["derives"] = _one_line(derived[1])
+    elif language in ("typescript", "javascript") and re.search(r"\basync\b", lead[-20:].rpartition("\n")[2] + plain[d.start : at.start()] + plain[at.end() : stop]) and d.node_type == "function":
+        d.meta["async"] = "true"
+    if d.node_type in ("class", "interface", "enum", "struct") and language in ("java", "typescript", "javascript"):
+        for word in ("extends", "implements"):
+            found = re.search(rf"\b{word}\s+(.+?)(?=\bimplements\b|\bextends\b|$)", _one_line(text[here:stop]))
+            if found:
+                d.meta[word] = found[1].strip()
+    if language in ("c", "cpp") and d.node_type in ("class", "struct"):
+        found = re.match(r"\s*(?:final\s*)?:(?!:)(.*)", _one_line(text[here:stop]))
+        if found:
+            d.meta["bases"] = found[1].strip()
+    if d.node_type in ("struct", "class", "interface") and language in FIELDS and (fields := _members(plain, text, d, FIELDS[language])):
+        d.meta["fields"] = ", ".join(f for f in fields if f not in KEYWORDS)
+    if d.node_type == "enum" and (variants := _members(plain, text, d, VARIANTS)):
+        d.meta["variants"] = ", ".join(v for v in variants if v not in KEYWORDS | {"pub", "public", "private", "protected", "static", "final"})
+    if language == "java" and d.node_type in ("class", "interface", "enum") and (constants := _members(plain, text, d, CONSTANTS)):
+        d.meta["constants"] = ", ".join(constants)
+    if language == "go" and d.node_type == "interface" and (methods := _members(plain, text, d, r"^\s*(?P<name>\w+)\s*\(")):
+        d.meta["methods"] = ", ".join(methods)
+
+
 def scan(text: str, language: str) -> list[Definition]:
     """Definitions of a file of a language with braces, by place; a definition's parent comes before it."""
     plain, lines, found = blank(text, language), Lines(text), []
@@ -205,6 +305,8 @@ def scan(text: str, language: str) -> list[Definition]:
                     end = body_end(plain, open_at + m.end() - 1)
                     found.append(Definition(m["name"], "function", place, end, lines.of(place), lines.of(end - 1), {"raw": text[place : open_at + m.end()].strip()}))
     found.sort(key=lambda d: (d.start, -d.end))
+    for d in found:
+        describe(language, d, plain, text)
     open_stack: list[int] = []
     for i, d in enumerate(found):
         while open_stack and found[open_stack[-1]].end < d.end:

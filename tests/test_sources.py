@@ -111,3 +111,60 @@ def test_settings_ladder(tmp_path, monkeypatch):
     monkeypatch.setenv("BINDLOOM_PROJECT_ID", "env")
     assert settings(str(tmp_path)).project_id == "env" and settings(str(tmp_path)).tier == "full"
     assert all(fine for _, fine, _ in doctor(str(tmp_path)))
+
+
+def meta(language, text, name, path="src/m/x.rs"):
+    return next(n["metadata"] for n in extract("p", path, language, text, "balanced")[0] if n["name"] == name)
+
+
+def test_metadata_of_definitions():
+    rust = "#[derive(Debug, Clone)]\npub struct P<T> { pub x: i32, y: Vec<T> }\npub async fn go<T: Ord>(a: &T, b: (u8, u8)) -> Result<T, E> where T: Copy { a }\nenum E { A, B(i32), C { z: u8 } }\nunsafe fn raw(p: *mut u8) {}\n"
+    assert meta("rust", rust, "P")["derives"] == "Debug, Clone" and meta("rust", rust, "P")["generics"] == "T" and meta("rust", rust, "P")["fields"] == "x, y"
+    go = meta("rust", rust, "go")
+    assert go["parameters"] == "a: &T, b: (u8, u8)" and go["return_type"] == "Result<T, E>" and go["generics"] == "T: Ord" and go["async"] == "true" and go["visibility"] == "pub"
+    assert meta("rust", rust, "E")["variants"] == "A, B, C" and meta("rust", rust, "raw")["unsafe"] == "true"
+    ts = "export class A<T> extends B<T> implements C, D { x: number; run(a: string): void { } }\nexport async function f(a: number, b?: string): Promise<number> { return a }\nenum K { One, Two = 2 }\n"
+    assert meta("typescript", ts, "A", "a/x.ts")["extends"] == "B<T>" and meta("typescript", ts, "A", "a/x.ts")["implements"] == "C, D" and meta("typescript", ts, "A", "a/x.ts")["fields"] == "x"
+    f = meta("typescript", ts, "f", "a/x.ts")
+    assert f["parameters"] == "a: number, b?: string" and f["return_type"] == "Promise<number>" and f["async"] == "true"
+    assert meta("typescript", ts, "K", "a/x.ts")["variants"] == "One, Two"
+    gofile = "package m\ntype S struct {\n\tName string\n\tAge  int\n}\ntype I interface {\n\tRun(x int) error\n}\nfunc (s *S) Go(a int, b string) (int, error) {\n\treturn 1, nil\n}\n"
+    assert meta("go", gofile, "S", "m/x.go")["fields"] == "Name, Age" and meta("go", gofile, "I", "m/x.go")["methods"] == "Run"
+    assert meta("go", gofile, "Go", "m/x.go")["parameters"] == "a int, b string" and meta("go", gofile, "Go", "m/x.go")["return_type"] == "(int, error)"
+    java = "public class A extends B implements C, D {\n  public static final int MAX = 3;\n  private String name;\n  public List<String> run(int a, String b) throws E { return null; }\n}\nenum K { ONE, TWO; }\n"
+    a = meta("java", java, "A", "a/A.java")
+    assert a["extends"] == "B" and a["implements"] == "C, D" and a["constants"] == "MAX" and "name" in a["fields"]
+    run = meta("java", java, "run", "a/A.java")
+    assert run["parameters"] == "int a, String b" and run["return_type"] == "List<String>" and meta("java", java, "K", "a/A.java")["variants"] == "ONE, TWO"
+    c = "struct P {\n  int x;\n  char *y;\n};\nenum K { A, B = 2 };\nstatic const char *add(int a, int b) {\n return 0;\n}\n"
+    assert meta("c", c, "P", "a/x.c")["fields"] == "x, y" and meta("c", c, "K", "a/x.c")["variants"] == "A, B"
+    assert meta("c", c, "add", "a/x.c")["parameters"] == "int a, int b" and meta("c", c, "add", "a/x.c")["return_type"] == "const char *"
+    assert meta("cpp", "class A : public B, private C {\n int x;\n};\n", "A", "a/x.cpp")["bases"] == "public B, private C"
+
+
+def test_repeated_calls_are_edges_of_their_own():
+    edges = [e for e in extract("p", "src/a.rs", "rust", "fn a() { b(); b(); c(); }\nfn b() {}\n", "balanced")[1] if e["edge_type"] == "calls"]
+    assert [(e["to_name"], e["occurrence"]) for e in edges] == [("b", 0), ("b", 1), ("c", 0)]
+
+
+def test_fnv_of_known_texts():
+    assert [f"{names.fnv1a64(t):016x}" for t in (b"", b"a", b"foobar")] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
+
+
+def test_init_lays_down_and_keeps(tmp_path):
+    from bindloom.config import init
+
+    assert init(str(tmp_path), project_id="demo") == [("bindloom.conf", "written"), ("roadmap.yaml", "written"), (".gitignore", "written")]
+    assert init(str(tmp_path), project_id="other") == [("bindloom.conf", "kept"), ("roadmap.yaml", "kept"), (".gitignore", "kept")]
+    assert settings(str(tmp_path)).project_id == "demo" and dict((c, f) for c, f, _ in doctor(str(tmp_path)))["roadmap"]
+    (tmp_path / "roadmap.yaml").write_text("version: 9\n")
+    report = {c: (f, said) for c, f, said in doctor(str(tmp_path))}
+    assert report["roadmap"][0] is False and report["next"] == (False, "mend roadmap.yaml")
+
+
+def test_text_helpers_of_renderers():
+    from bindloom.sinks import render
+
+    assert render.truncated("abcdef", 4) == "abc\u2026" and render.truncated("abc", 4) == "abc"
+    assert render.demoted("# A\n```\n# code\n```\n###### F") == "## A\n```\n# code\n```\n###### F"
+    assert render.dot_escaped('a"b\\c') == 'a\\"b\\\\c' and render.label("a[b]|c") == "a b  c"
