@@ -24,8 +24,8 @@ import regex
 PLAIN = re.compile(r"[\x21-\x7e\xa1-įı-ɏ]+")
 #: A chunk with this may hold a special string, which the library must find.
 SPECIAL = "<|"
-#: Entries in a worker's cache of chunks: a young and an old half.
-CACHE_ENTRIES = 300_000
+#: Entries in a task's cache of chunks: a young and an old half, each over by what one slice adds.
+CACHE_ENTRIES = 160_000
 #: The same where an encoder has a worker to itself.
 WORD_ENTRIES = 800_000
 #: Bytes of a word up to which words are merged many at a time.
@@ -92,10 +92,11 @@ def released() -> None:
 
 
 def parts(batches, column: int, size: int = 4 << 20):
-    """``slices`` of all batches; at a task's end unused memory is given back."""
+    """``slices`` of all batches; unused memory is given back before each batch and at a task's end."""
     for batch in batches:
         yield from slices(batch, column, size)
-    released()
+        del batch
+        released()
 
 
 def filled(texts: pa.Array) -> pa.Array:

@@ -224,7 +224,7 @@ def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     is one word, after its blank; the words of others are cut out."""
 
     def run(batches):
-        for b in bpe.parts(batches, 0):
+        for b in bpe.parts(batches, 0, 2 << 20):
             split, odd = bpe.spaced_split(b.column(0))
             n = np.bincount(split.codes, minlength=len(split.distinct))
             chunks = pa.array(split.distinct, pa.string())
@@ -272,12 +272,17 @@ def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, k
 
     def run(batches):
         c = codec(tokenizer, lexicon)
-        for b in bpe.parts(batches, 0, 2 << 20):
+
+        def one(b):  # what it works with is gone when it returns
             ids, at = c.encode(b.column(0))
             wide, texts = memoryview(ids.astype("<u4").tobytes()), c.decode(ids, at)
             each = [hashlib.sha256(wide[4 * i : 4 * j]).hexdigest() for i, j in zip(at, at[1:], strict=False)]
             back = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.diff(at)), pa.array(each, pa.string()), pa.array(back, pa.string())], names=[*b.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
+            return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.diff(at)), pa.array(each, pa.string()), pa.array(back, pa.string())], names=[*b.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        yield from map(one, bpe.parts(batches, 0, 2 << 20))
+        c.known = bpe.Cache()  # workers outlive their tasks
+        bpe.released()
 
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
