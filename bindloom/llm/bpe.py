@@ -184,7 +184,8 @@ class Merges:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, self.added = whole["model"], {t["id"]: t["content"] for t in whole["added_tokens"]}
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank: dict[tuple[str, str], int] = {p: i for i, p in enumerate(pairs)}

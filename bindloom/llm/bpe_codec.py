@@ -14,7 +14,6 @@ input are ignored; texts with one of five control characters, U+0001 to U+0005,
 from __future__ import annotations
 
 import hashlib
-import json
 from collections import Counter
 from functools import lru_cache
 
@@ -145,9 +144,8 @@ class Codec:
         spelled = [b""] * self.library.get_vocab_size()
         for t, i in self.merges.vocab.items():
             spelled[i] = bytes(back[c] for c in t)
-        with open(tokenizer, encoding="utf-8") as f:
-            for t in json.load(f)["added_tokens"]:
-                spelled[t["id"]] = t["content"].encode()
+        for i, content in self.merges.added.items():
+            spelled[i] = content.encode()
         self.size = np.array([len(s) for s in spelled], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
@@ -207,8 +205,9 @@ class Codec:
         """Texts of consecutive runs of ids; what is no UTF-8 becomes replacement characters."""
         n = self.size[ids]
         ends = np.cumsum(n)
-        places = np.repeat(self.at[ids] - (ends - n), n)
-        places += np.arange(len(places))
+        kind = np.int32 if len(ends) and ends[-1] < 2**31 else np.int64
+        places = np.repeat((self.at[ids] - (ends - n)).astype(kind), n)
+        places += np.arange(len(places), dtype=kind)
         raw = self.bytes[places].tobytes()
         cut = np.concatenate([[0], ends])[at].tolist()
         return [raw[i:j].decode("utf-8", "replace") for i, j in zip(cut, cut[1:], strict=False)]
@@ -280,7 +279,7 @@ def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, k
             back = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.diff(at)), pa.array(each, pa.string()), pa.array(back, pa.string())], names=[*b.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        yield from map(one, bpe.parts(batches, 0, 2 << 20))
+        yield from map(one, bpe.parts(batches, 0, 1 << 20))
         c.known = bpe.Cache()  # workers outlive their tasks
         bpe.released()
 

@@ -92,19 +92,22 @@ def compare_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     row and its edited text: the last quarter of its code points replaced by as many first ones of
     the text with the next key, or all it has.
 
-    Keys are dealt into ranges, each range's rows sorted; the first row of a range is also sent to
-    the range before, where it comes last. Texts are shuffled once. Null keys come first, equal
-    keys in order of their texts."""
+    Keys are dealt into ranges, a key of very many rows into several by the hash of its texts, and each range's
+    rows sorted; the first row of a range is also sent to the range before, where it comes last. Texts are
+    shuffled once. Null keys come first, equal keys in order of their texts' hashes, then of their texts. One row
+    a range goes to the driver, at most 100,000."""
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    rows = rows.withColumn("sk", F.coalesce("key", F.lit(-(2**63))))
-    cuts = store.id_ranges(rows, "key", RANGE_ROWS)
-    rows = rows.withColumn("part", store.range_of("key", cuts))
-    firsts = sorted((r["part"], r["sk"]) for r in rows.groupBy("part").agg(F.min("sk").alias("sk")).collect())  # one row a range
-    before = [(sk, firsts[i - 1][0]) for i, (_, sk) in enumerate(firsts)]
-    link = F.broadcast(spark.createDataFrame(before, "sk long, to int"))
-    rows = rows.join(link, "sk", "left").withColumn("go", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("extra")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(F.col("to").alias("part"), F.lit(1).alias("extra"))))))
-    rows = rows.select("go.part", "go.extra", "sk", "key", "text").repartitionByRange(len(cuts) + 1, "part").sortWithinPartitions("part", "extra", "sk", "text")
+    rows = rows.withColumn("sk", F.coalesce("key", F.lit(store.LEAST))).withColumn("same", F.xxhash64("text"))
+    cuts = store.id_ranges(rows, "sk", RANGE_ROWS)
+    rows = rows.withColumn("part", store.range_of("sk", "same", cuts))
+    # equal rows of a range's start are one and the same to the row before: the place of one of them is enough
+    least = rows.groupBy("part").agg(F.min(F.struct("sk", "same")).alias("m")).select("part", "m.sk", "m.same").collect()  # one row a range
+    firsts = sorted((r["part"], r["sk"], r["same"]) for r in least)
+    before = [(sk, same, firsts[i - 1][0]) for i, (_, sk, same) in enumerate(firsts)]
+    link = F.broadcast(spark.createDataFrame(before, "sk long, same long, to int"))
+    rows = rows.join(link, ["sk", "same"], "left").withColumn("go", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("extra")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(F.col("to").alias("part"), F.lit(1).alias("extra"))))))
+    rows = rows.select("go.part", "go.extra", "sk", "key", "text", "same").repartitionByRange(len(cuts) + 1, "part").sortWithinPartitions("part", "extra", "sk", "same", "text")
 
     def run(batches):
         held = None  # (part, extra, key, text, signatures) whose next row is still to come

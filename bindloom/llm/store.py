@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -115,37 +116,57 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length", "content").where("length > 0")
 
 
-def id_ranges(df: DataFrame, key: str, per_range: int, most: int = 100_000) -> list[int]:
-    """Ascending cut points that deal integer ``key`` into ranges of about ``per_range`` rows.
+#: Least hash: where a key's first range begins.
+LEAST = -(2**63)
+
+
+def id_ranges(df: DataFrame, key: str, per_range: int, most: int = 100_000) -> list[tuple[int, int]]:
+    """Ascending cut points (key, hash) that deal rows into ranges of about ``per_range`` rows, in the order of an
+    integer ``key`` without nulls and of a 64-bit hash where it repeats: a key of many rows has many ranges.
 
     Reads only the key column. A few numbers for each range go to the driver: at most ``most``.
     """
-    n = df.where(F.col(key).isNotNull()).count()
+    n = df.count()
     parts = max(1, min(most, -(-n // per_range)))
     if parts == 1:
         return []
     at = [i / parts for i in range(1, parts)]
     got = df.agg(F.percentile_approx(key, at, max(10_000, 20 * parts)).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    out = []
+    for k, m in sorted(Counter(got or []).items()):
+        out += [(k, LEAST + j * 2**64 // m) for j in range(m)]
+        if m > 1 and k < 2**63 - 1:  # what comes after a key of many ranges has one of its own
+            out.append((k + 1, LEAST))
+    return sorted(set(out))
 
 
-def range_of(key: str, cuts: list[int]) -> Column:
-    """Index of the range of ``key`` among ``cuts`` (0: below the first cut, and null)."""
+def range_of(key: str, hashed: str, cuts: list[tuple[int, int]]) -> Column:
+    """Index of the range of (``key``, ``hashed``) among ``cuts`` (0: below the first cut)."""
     if len(cuts) <= 256:
-        return _tree(key, cuts, 0, len(cuts))
-    at = np.array(cuts, dtype=np.int64)
+        return _tree(key, hashed, cuts, 0, len(cuts))
+    keys, hashes = (np.array([c[i] for c in cuts], dtype=np.int64) for i in (0, 1))
+    many = [k for k, n in Counter(keys.tolist()).items() if n > 1]
 
     @F.pandas_udf("int")
-    def find(s: pd.Series) -> pd.Series:
-        known = s.notna()
-        return pd.Series(np.where(known, np.searchsorted(at, s.where(known, 0).astype("int64"), side="right"), 0).astype("int32"))
+    def find(k: pd.Series, h: pd.Series) -> pd.Series:
+        k, h = k.to_numpy("int64"), h.to_numpy("int64")
+        lo, hi = np.searchsorted(keys, k, side="left"), np.searchsorted(keys, k, side="right")
+        at = np.where((hi > lo) & (h >= hashes[np.minimum(lo, len(keys) - 1)]), lo + 1, lo)
+        for key_of_many in many:
+            rows = np.flatnonzero(k == key_of_many)
+            if len(rows):
+                i, j = lo[rows[0]], hi[rows[0]]
+                at[rows] = i + np.searchsorted(hashes[i:j], h[rows], side="right")
+        return pd.Series(at.astype("int32"))
 
-    return find(F.col(key).cast("long"))
+    return find(F.col(key).cast("long"), F.col(hashed))
 
 
-def _tree(key: str, cuts: list[int], lo: int, hi: int) -> Column:
+def _tree(key: str, hashed: str, cuts: list[tuple[int, int]], lo: int, hi: int) -> Column:
     """Nested comparisons: log2(len(cuts)) of them a row, inside generated code."""
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi) // 2
-    return F.when(F.col(key) >= F.lit(cuts[mid]), _tree(key, cuts, mid + 1, hi)).otherwise(_tree(key, cuts, lo, mid))
+    k, h = cuts[mid]
+    after = F.col(key) >= F.lit(k) if h == LEAST else (F.col(key) > F.lit(k)) | (F.col(key) == F.lit(k)) & (F.col(hashed) >= F.lit(h))
+    return F.when(after, _tree(key, hashed, cuts, mid + 1, hi)).otherwise(_tree(key, hashed, cuts, lo, mid))

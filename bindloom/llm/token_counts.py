@@ -22,7 +22,6 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import array
-import json
 import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
@@ -84,8 +83,7 @@ class PrefixCounts:
             raise ValueError("prefix counts need a vocabulary with end-of-word marks")
         self.inner = {t for t in self.merges.vocab if not t.endswith(mark)}
         self.final = {t[: -len(mark)] for t in self.merges.vocab if t.endswith(mark)}
-        with open(path, encoding="utf-8") as f:
-            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.specials = list(self.merges.added.values())
         self.longest = max(map(len, [*self.inner, *self.final, *self.specials]))
         self.stable: dict[tuple[str, str, bool], bool] = {}
         self.states: dict[str, tuple[str, int]] = {"": ("", 0)}

@@ -5,8 +5,8 @@ lengths of four ids share a control byte, kept apart from the data bytes; a read
 bytes into lengths, places and masks by table lookup, for a whole shard at once in numpy.
 
 A store is a folder of ``part-*`` files, written by Spark's own committer and so complete or
-absent, in ascending key order. Keys are dealt into ranges; a file holds whole ranges, a range is a
-run of shards. A shard: header (magic, range, ids of the range before it, documents, ids, bytes of
+absent, in ascending key order. Keys are dealt into ranges, a key of very many rows into several by a hash of
+the ids; a file holds whole ranges, a range is a run of shards. A shard: header (magic, range, ids of the range before it, documents, ids, bytes of
 data), keys, null flags, ids of each document, control bytes, data bytes, one newline. Beside it
 lies ``ranks``: the id of each rank as unsigned 32-bit numbers.
 
@@ -138,8 +138,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, *, key: str = "d
     rank[order] = np.arange(size)
     total = enc.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
     each = max(1, int(RANGE_IDS * total["rows"] / max(1, total["ids"])))
-    cuts = store.id_ranges(enc, "key", each)
-    enc = enc.withColumn("part", store.range_of("key", cuts))
+    enc = enc.withColumn("sk", F.coalesce("key", F.lit(store.LEAST))).withColumn("same", F.xxhash64("ids"))
+    cuts = store.id_ranges(enc, "sk", each)
+    enc = enc.withColumn("part", store.range_of("sk", "same", cuts))
     sent = spark.sparkContext.broadcast(rank)  # one number an entry of the vocabulary
 
     def run(batches):
@@ -164,7 +165,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, *, key: str = "d
         if held:
             yield flush()[1]
 
-    dealt = enc.select("part", "key", "ids").repartitionByRange(len(cuts) + 1, "part").sortWithinPartitions("part", "key")
+    dealt = enc.select("part", "key", "ids", "same").repartitionByRange(len(cuts) + 1, "part").sortWithinPartitions("part", "key", "same")
     store.write_blobs(dealt.mapInArrow(run, "shard binary"), "shard", f"{path}/ids")
     base = enc.groupBy("part").agg(F.sum("n").alias("n"))
     return base.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))

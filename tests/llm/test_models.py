@@ -86,3 +86,54 @@ def test_models_do_not_depend_on_partitions(of, documents, spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fit = (lambda d: langid.fit(d).table) if of == "langid" else (lambda d: np.concatenate(quality.fit(d, labels).means))
     assert np.array_equal(fit(documents), fit(documents.repartition(5, F.rand(1))))
+
+
+def test_gram_sums_are_plain_sums(documents, messy):
+    """Against 3-grams taken one by one from the lower-cased text between two blanks on either side."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=(langid.GRAMS, 2)).astype(np.float32)
+    texts = [r["text"] for r in messy.collect()] + [r["text"] for r in documents.limit(60).collect()]
+
+    def symbol(b):
+        return b - 96 if 97 <= b <= 122 else 27 + (b - 128) % 37 if b >= 128 else 0
+
+    sums, n = langid.gram_sums(pa.array(texts, pa.string()), table)
+    for t, got, count in zip(texts, sums, n, strict=True):
+        s = [symbol(b) for b in f"  {(t or '').lower()}  ".encode()]
+        grams = [a << 12 | b << 6 | c for a, b, c in zip(s, s[1:], s[2:], strict=False)]
+        # those of blanks alone count in the sums, not in the number
+        assert count == sum(g > 0 for g in grams)
+        letters = [g for g in grams if g > 0]
+        blanks = got - table[letters].sum(axis=0, dtype=np.float64) if letters else got
+        assert np.allclose(blanks / table[0], np.round(blanks / table[0]), atol=1e-2)
+
+
+def plain_statistics(text):
+    """The same fifteen numbers, from counting."""
+    import re
+    from collections import Counter
+
+    raw = text.encode()
+    kind = Counter("space" if b in b"\t\n\x0b\x0c\r " else "lower" if 97 <= b <= 122 else "upper" if 65 <= b <= 90 else "digit" if 48 <= b <= 57 else "other" if b >= 128 else "mark" if chr(b) in ".,;:'\"?-()" else "sign" for b in raw)
+    size, letters = max(len(raw), 1), max(kind["lower"] + kind["upper"] + kind["other"], 1)
+    words = re.sub(r"[\t\n\x0c\r ]+", " ", text).split(" ")
+    lines = text.split("\n")
+    total, lens = float(len(words)), [len(w.encode()) for w in words]
+    pairs = list(zip(words, words[1:], strict=False))
+    return [
+        np.log1p(total), np.log1p(sum(lens) / total), np.sqrt(kind["upper"] / letters), np.sqrt(kind["digit"] / size), np.sqrt(kind["mark"] / size), np.sqrt(kind["sign"] / size), np.sqrt(kind["other"] / size),
+        np.log((len(set(words)) + 1) / (total + 1)) / np.log(total + 2), np.sqrt(max(Counter(words).values()) / total), np.sqrt(1 - len(set(pairs)) / len(pairs)) if pairs else 0.0, np.sqrt(sum(a == b for a, b in pairs) / total),
+        np.sqrt(sum(n <= 3 for n in lens) / total), np.log1p(total / len(lines)), np.sqrt(1 - len(set(lines)) / len(lines)), sum(bool(re.search(r"[.!?][\"')]*[\t\n\x0c\r ]*$", x)) for x in lines) / len(lines),
+    ]
+
+
+def test_statistics_are_what_counting_gives(documents, messy):
+    import pyarrow as pa
+
+    texts = [r["text"] for r in messy.collect() if len(r["text"] or "") < 5_000] + [r["text"] for r in documents.limit(80).collect()]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    want = np.array([plain_statistics(t or "") for t in texts])
+    for k, name in enumerate(quality.NAMES):
+        assert np.allclose(got[:, k], want[:, k], atol=1e-9), name

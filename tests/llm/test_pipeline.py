@@ -84,3 +84,13 @@ def test_a_document_with_one_planted_passage_goes(spark, tmp_path):
     texts = [" ".join(["before", *item, "after"]), " ".join(["one", "window", *item[4:12], "only"]), " ".join(["seven", "words", *item[4:11], "only"]), "nothing of it"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert ids(corpus_pipeline.clean(spark, docs, str(tmp_path))) == [2, 3]
+
+
+def test_null_ids_and_an_empty_table(spark, sf_dir, messy, nothing):
+    docs = messy.where("doc_id is null or doc_id < 6")
+    for name, stage in corpus_pipeline.STAGES[2:4]:  # stages that learn nothing from the rows
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == messy.columns, name
+    assert docs.where("doc_id is null").count() == 1
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, nothing, sf_dir).count() == 0

@@ -330,3 +330,51 @@ def test_proximity_does_not_depend_on_which_term_is_rarest(spark):
         for slop in (0, 1, 2):
             got = {r["doc"] for r in decontam.matches(decontam.build(docs, items), 3, slop=slop).collect()}
             assert got == {i for i, t in [*base, (9, "q" + common)] if brute_matches(t, "a b c", slop)}, (common, slop)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-1], "x"])), (None, "something else"), (7, " ".join(words)), (7, "another text of seven"), (7, "another text of seven")]
+    docs = spark.createDataFrame([(i, t, "k", 1, "h") for i, t in rows], "doc_id long, text string, key string, n int, __n string")
+    got = sorted(((r["doc_id"], r["class_id"], r["class_size"], r["class_texts"], r["n_links"]) for r in bagminhash.classes(docs).collect()), key=repr)
+    near = {(None, 7, 3, 2, 1), (7, 7, 3, 2, 1)}
+    assert set(got) == near | {(None, None, 1, 1, 0), (7, 7, 2, 1, 0)} and len(got) == 6
+    kept = bagminhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == sorted([" ".join(words), "something else", "another text of seven"])
+
+
+def test_a_group_just_below_the_threshold_makes_few_comparisons(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for j in rng.choice(150, 8, replace=False):
+            w[j] = f"v{k}x{j}"
+        texts.append((k, " ".join(w)))
+    got = {}
+    for r in bagminhash.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert sorted(sorted(map(repr, g)) for g in got.values()) == all_pairs_classes(texts)
+
+
+def test_ranges_split_a_key_of_many_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5_000).select(F.when(F.col("id") % 2 == 0, 40).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("h")).cache()
+    for per in (100, 10):  # few cuts: generated code; many: Arrow
+        cuts = store.id_ranges(rows, "k", per)
+        got = rows.withColumn("part", store.range_of("k", "h", cuts)).collect()
+        sizes = Counter(r["part"] for r in got)
+        assert max(sizes.values()) < 4 * per + 20
+        order = [r["part"] for r in sorted(got, key=lambda r: (r["k"], r["h"]))]
+        assert order == sorted(order)
+
+
+def test_fingerprints_of_rows_without_ids(spark):
+    texts = ["the quick brown fox of the old town", "a cat is in the big red house", "the quick brown fox of the old town", None]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(5, "on the hill with a view")], "doc_id long, text string")
+    got = spotsigs.compare_edited(docs).collect()
+    assert len(got) == 5 and Counter(r["n_chars"] for r in got) == Counter(len(t or "") for t in [*texts, "on the hill with a view"])
+    same = [r["fingerprint"] for r in got if r["n_chars"] == len(texts[0])]
+    assert len(set(same)) == 1

@@ -95,3 +95,35 @@ def test_automaton_finds_its_words_alone():
     got = a.find([*words, b"", b"t", b"tapss", b"c"])
     assert [a.outputs(n).tolist() for n in got[: len(words)]] == list(words.values()) and (got[len(words) :] == -1).all()
     assert len(a.final) < sum(map(len, words))  # suffixes are shared
+
+
+ODD = "ab ABC  \t\n\r.,;'-01\u00e9\u00fc\u00a0\u2003\u3000\u200b\x1c\x85\u65e5\u672c"
+
+
+def test_messy_white_space_is_the_librarys(word_bpe, byte_bpe):
+    import random
+
+    from bindloom.llm import bpe
+
+    pick = random.Random(7)
+    parts = [*ODD, "'s", "'re", " the ", "<|endoftext|>", "\n\n", "  ", ". ", ", ", "naive", " \n", "\x03"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 50))) for _ in range(3_000)] + ["", " ", "\n ", "a ", "a\n", None, "!,\t\tb", "x\u00a0 \n", "x" * 300]
+    import pyarrow as pa
+
+    for path, made in ((byte_bpe, bpe_codec.Codec(byte_bpe)), (word_bpe, bpe.WordChunks(word_bpe))):
+        ids, at = made.encode(pa.array(texts))
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == encoded(path, texts)
+
+
+def test_prefix_counts_and_cuts_of_long_chunks_without_blanks(word_bpe):
+    import random
+
+    count, pick = token_counts.counter(word_bpe), random.Random(3)
+    parts = [*"abC.,!'-09\u00e9\u65e5\u672c\u8a9e\U0001f642\u1100\uac01\u0301\u093e\u0915\u0442\u0435\u00b2", "<|endoftext|>", "<|start", "'s", "'re", "'v", "\u0130", "\ufb01"]
+    for _ in range(150):
+        t = "".join(pick.choice(parts) for _ in range(pick.randint(1, 24)))
+        assert count.chunk(t) == [len(x) for x in encoded(word_bpe, [t[:k] for k in range(len(t) + 1)])]
+    for t in ("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 150, "\u0442\u0435\u043a\u0441\u0442" * 160, "a\u65e5" * 450, "\u0e01\u0e47" * 420, "<|endoftext|>" * 60):
+        n = [len(x) for x in encoded(word_bpe, [t[:k] for k in range(len(t) + 1)])]
+        for room in (1, 57, 200):
+            assert count.cut_in(t, room) == max(k for k, x in enumerate(n) if x <= room)
