@@ -130,6 +130,7 @@ def text_keys(words: np.ndarray, at: np.ndarray, texts: pa.Array) -> tuple[np.nd
 def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> DataFrame:
     """(key, hash, k1, k2, weight, keys): the text's hash, the words' sequence as two numbers, shingles,
     band keys."""
+    store.small_batches(docs.sparkSession)
     rows_in = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
 
     def run(batches):

@@ -265,6 +265,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WOR
 
 def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of each whole text."""
+    store.small_batches(docs.sparkSession)
     lexicon = compile_lexicon(docs, tokenizer, words=words, text=text)
     rows = docs.select(docs[text].alias("text"), docs[key].alias(key))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, store
 
 UNKNOWN = "und"
 #: Labelled texts that the weights of the decoding are fitted on, at most.
@@ -187,6 +187,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
 
 def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lang_pred, score, ambiguous, and the columns ``keep``) of each row. One narrow stage."""
+    store.small_batches(docs.sparkSession)
     out = list(dict.fromkeys([key, *keep]))
     rows = docs.select(*[docs[c] for c in dict.fromkeys([*out, text])])
     kinds, at = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out), rows.columns.index(text)

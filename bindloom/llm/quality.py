@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, store
 
 #: Labelled rows that the model is fitted on, at most.
 FIT_ROWS = 20_000
@@ -175,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, score, and the columns ``keep``) of each row. One narrow stage."""
+    store.small_batches(docs.sparkSession)
     out = list(dict.fromkeys([key, *keep]))
     rows = docs.select(*[docs[c] for c in dict.fromkeys([*out, text])])
     kinds, at = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out), rows.columns.index(text)

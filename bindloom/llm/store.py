@@ -10,6 +10,7 @@ reach will do.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections import Counter
 
@@ -26,6 +27,9 @@ BROADCAST_BYTES = 32 << 20
 #: broadcast: at most HEAVY_SHARE of them.
 HEAVY, HEAVY_SHARE = 1_000, 100_000
 
+#: Setting of how many bytes go to a Python worker at a time, and how many that are here.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -85,6 +89,14 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.shared_path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a worker and the JVM beside it hold by bytes: 10,000 rows may be long texts. A session that already
+    has a smaller bound keeps it."""
+    now = re.match(r"(\d+)b?$", spark.conf.get(BATCH_SETTING) or "")
+    if not (now and 0 < int(now[1]) <= BATCH_BYTES):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def held(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if its values, at 8 bytes a number and 24 a row, are few bytes."""
     size = F.lit(24)
