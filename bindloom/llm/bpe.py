@@ -179,6 +179,12 @@ def library(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def shared_library(path: str):
+    """One tokenizer of a file for all that a worker does."""
+    return library(path)
+
+
 class Merges:
     """Exact BPE of one word over a vocabulary file's merges."""
 

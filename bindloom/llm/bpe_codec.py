@@ -135,7 +135,7 @@ class Codec:
     """Encoder and decoder of one tokenizer file, with or without a lexicon."""
 
     def __init__(self, tokenizer: str, lexicon: str | None = None):
-        self.library = bpe.library(tokenizer)
+        self.library = bpe.shared_library(tokenizer)
         self.merges = bpe.merges(tokenizer)
         self.automaton = Automaton.load(lexicon) if lexicon else None
         self.dtype = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
@@ -213,7 +213,7 @@ class Codec:
         return [raw[i:j].decode("utf-8", "replace") for i, j in zip(cut, cut[1:], strict=False)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # each run has a lexicon of its own
 def codec(tokenizer: str, lexicon: str | None) -> Codec:
     return Codec(tokenizer, SparkFiles.get(lexicon) if lexicon else None)
 
