@@ -47,6 +47,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 40, 6
 PARTNERS = 512
 #: 64-bit numbers of a sketch, 32 bins of two bits in each.
 SKETCH = 32
+#: Texts that are signed or sketched at a time: what each takes there is of a fixed size.
+TOGETHER = 256
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -134,9 +136,10 @@ def signed(docs: DataFrame, *, bands: int, rows: int, key: str, text: str) -> Da
     rows_in = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
 
     def run(batches):
+        bpe.forget_encoders()
         for b in bpe.parts(batches, 1, 2 << 20):
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, TOGETHER):
+                part = b.slice(lo, TOGETHER)
                 words, at = hashing.word_hashes(part.column(1))
                 k1, k2 = text_keys(words, at, part.column(1))
                 h, where = hashing.shingle_hashes(words, at, SHINGLE)
@@ -189,6 +192,7 @@ def similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     whole = int(held[1].sum() + n.sum()) - common
                     sims.append(common / whole if whole else 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), b, pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+        bpe.released()
 
     return both.mapInArrow(run, "a long, b long, sim double")
 
@@ -233,10 +237,12 @@ def _bounds(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def sketch(batches):
         for b in bpe.parts(batches, 1, 2 << 20):
-            h, at = hashing.shingle_hashes(*hashing.word_hashes(b.column(1)), SHINGLE)
-            bits, beyond = sketches(h, at)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(bits.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(beyond)], names=["rid", "sketch", "beyond"])
+            for lo in range(0, b.num_rows, TOGETHER):
+                part = b.slice(lo, TOGETHER)
+                h, at = hashing.shingle_hashes(*hashing.word_hashes(part.column(1)), SHINGLE)
+                bits, beyond = sketches(h, at)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(bits.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(beyond)], names=["rid", "sketch", "beyond"])
 
     def single(batches):
         for b in bpe.parts(batches, 1, 2 << 20):

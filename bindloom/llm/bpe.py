@@ -179,7 +179,28 @@ def library(path: str):
     return t
 
 
-@lru_cache(maxsize=2)
+#: Caches of what encoders hold in a worker.
+_encoders: list = []
+
+
+def kept_encoder(size: int):
+    """A cache of an encoder or a part of one, which ``forget_encoders`` empties."""
+
+    def wrap(make):
+        cached = lru_cache(maxsize=size)(make)
+        _encoders.append(cached)
+        return cached
+
+    return wrap
+
+
+def forget_encoders() -> None:
+    """Workers outlive their stages: where a task encodes nothing, give up what encoders before it have left."""
+    for cached in _encoders:
+        cached.cache_clear()
+
+
+@kept_encoder(2)
 def shared_library(path: str):
     """One tokenizer of a file for all that a worker does."""
     return library(path)
@@ -313,7 +334,7 @@ class Cache:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept_encoder(2)
 def merges(path: str) -> Merges:
     return Merges(path)
 
@@ -361,6 +382,6 @@ class WordChunks:
         return split.joined(self.known.packed(split.distinct, self.learn), self.dtype)
 
 
-@lru_cache(maxsize=2)
+@kept_encoder(2)
 def word_chunks(path: str) -> WordChunks:
     return WordChunks(path)

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -213,7 +212,7 @@ class Codec:
         return [raw[i:j].decode("utf-8", "replace") for i, j in zip(cut, cut[1:], strict=False)]
 
 
-@lru_cache(maxsize=1)  # each run has a lexicon of its own
+@bpe.kept_encoder(1)  # each run has a lexicon of its own
 def codec(tokenizer: str, lexicon: str | None) -> Codec:
     return Codec(tokenizer, SparkFiles.get(lexicon) if lexicon else None)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20_240_611))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -58,7 +58,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out, counts = [], np.zeros(len(lower) + 1, np.int64)
     data = np.frombuffer(lower.buffers()[2], np.uint8) if lower.buffers()[2] is not None else np.empty(0, np.uint8)
     i = 0
-    while i < len(lower):  # blocks of some 1 MB, a long text alone
+    while i < len(lower):  # blocks of BLOCK bytes or so, a long text alone
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
         block, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         inside = _WORD[block]

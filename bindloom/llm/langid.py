@@ -140,6 +140,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
     rows = labelled.where(labelled[lang].isNotNull() & labelled[text].isNotNull()).select(labelled[lang].alias("lang"), labelled[text].alias("text"), labelled[key].alias("key"))
 
     def count(batches):
+        bpe.forget_encoders()
         for b in bpe.parts(batches, 1):
             langs, out = np.array(b.column(0).to_pylist(), dtype=object), []
             for name in set(langs):
@@ -194,7 +195,8 @@ def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
 
     def run(batches):
-        for b in bpe.parts(batches, at):
+        bpe.forget_encoders()
+        for b in bpe.parts(batches, at, 1 << 20):
             lang, score, unsure = sent.value.predict(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*out, "lang_pred", "score", "ambiguous"])
 

@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(known), "key").select("y", "text")
 
     def run(batches):
-        for b in bpe.parts(batches, 1):
+        bpe.forget_encoders()
+        for b in bpe.parts(batches, 1, 1 << 20):
             x = _blocks(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -182,7 +183,8 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in bpe.parts(batches, at):
+        bpe.forget_encoders()
+        for b in bpe.parts(batches, at, 1 << 20):
             yield pa.RecordBatch.from_arrays([*b.columns[: len(out)], pa.array(sent.value.scores(_blocks(b.column(at))))], names=[*out, "score"])
 
     return rows.mapInArrow(run, f"{kinds}, score double")

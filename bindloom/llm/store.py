@@ -28,7 +28,7 @@ BROADCAST_BYTES = 32 << 20
 HEAVY, HEAVY_SHARE = 1_000, 100_000
 
 #: Setting of how many bytes go to a Python worker at a time, and how many that are here.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 

@@ -262,7 +262,7 @@ class PrefixCounts:
         return max(k for k, n in enumerate(self.chunk(chunk[: room * self.longest + 1])) if n <= room)
 
 
-@lru_cache(maxsize=2)
+@bpe.kept_encoder(2)
 def counter(path: str) -> PrefixCounts:
     return PrefixCounts(path)
 
