@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import names
-from . import traverse
+from . import resolve, traverse
 
 KEYS = ["name", "qualified_name", "node_type", "file_path"]
 DEPTH = 3
@@ -22,12 +23,17 @@ def impact(bound: DataFrame, nodes: DataFrame, queried: DataFrame, depth: int =
     roots = live.join(q, "name", "left_semi").select(F.col("node_id").alias("root_id"), "node_id", "name")
     what = nodes.select("node_id", "name", "qualified_name", "file_path")
     symbols = roots.select("node_id", F.col("name").alias("of_name")).join(what, "node_id").select(F.lit("symbol").alias("section"), "of_name", "node_id", "name", "qualified_name", "file_path", F.lit(None).cast("string").alias("to_name"), F.lit(0).alias("depth"))
-    found = traverse.reach(roots, traverse.reversed_links(traverse.links(bound)), depth)
-    of = roots.select("root_id", F.col("name").alias("of_name"))
-    dep = found.where("depth > 0").join(of, "root_id").groupBy("node_id").agg(F.min(F.struct("depth", "of_name")).alias("m"))
+    found = traverse.nearest(roots.withColumnRenamed("name", "label"), traverse.reversed_links(traverse.links(bound)), depth)
+    dep = found.where("depth > 0 and root_id <> node_id").groupBy("node_id").agg(F.min(F.struct("depth", F.col("label").alias("of_name"))).alias("m"))
     dep = dep.join(what, "node_id").select(F.lit("dependent").alias("section"), F.col("m.of_name").alias("of_name"), "node_id", "name", "qualified_name", "file_path", F.lit(None).cast("string").alias("to_name"), F.col("m.depth").alias("depth"))
-    amb = traverse.ambiguous_into(found, bound, nodes, depth).join(of, "root_id").join(what.withColumnRenamed("node_id", "from_id"), "from_id")
-    amb = amb.groupBy("file_path", "name", "to_name").agg(F.min(F.struct("depth", "of_name", "from_id", "qualified_name")).alias("m"))
+    # the nearest of what a class may mean stands for all of it: no pairs of references and definitions
+    inner = found.where(F.col("depth") < depth).groupBy("node_id").agg(F.min(F.struct((F.col("depth") + 1).alias("depth"), F.col("label").alias("of_name"))).alias("near"))
+    inner = nodes.join(inner, "node_id")
+    near = resolve.classes_of(inner, "near").groupBy(*resolve.CLASS).agg(F.min("near").alias("near"))
+    amb = resolve.classed(bound.where(F.col("edge_type").isin(*names.NAME_EDGES)).select("from_id", "to_name", "to_type", "confidence"), nodes, inner)
+    amb = amb.join(storage.lookup(near, "near-classes"), resolve.CLASS).groupBy("from_id", "to_name").agg(F.min("near").alias("near"))
+    amb = amb.join(what.withColumnRenamed("node_id", "from_id"), "from_id")
+    amb = amb.groupBy("file_path", "name", "to_name").agg(F.min(F.struct("near.depth", "near.of_name", "from_id", "qualified_name")).alias("m"))
     amb = amb.select(F.lit("ambiguous").alias("section"), F.col("m.of_name").alias("of_name"), F.col("m.from_id").alias("node_id"), "name", F.col("m.qualified_name").alias("qualified_name"), "file_path", "to_name", F.col("m.depth").alias("depth"))
     old = traverse.stale(bound, nodes, queried).groupBy(F.col("from_file").alias("file_path"), F.col("from_name").alias("name"), "to_name").agg(F.min(F.struct("queried", "from_id")).alias("m"))
     old = old.select(F.lit("stale").alias("section"), F.col("m.queried").alias("of_name"), F.col("m.from_id").alias("node_id"), "name", F.lit(None).cast("string").alias("qualified_name"), "file_path", "to_name", F.lit(0).alias("depth"))

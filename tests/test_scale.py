@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from bindloom.operators import resolve
+from bindloom.operators import resolve, traverse, verdict
 from bindloom.plans.catalog import Graph
 
 
@@ -24,3 +24,28 @@ def shuffles(df, column: str) -> int:
 
 def test_references_look_names_up_without_a_shuffle_of_their_own(g):
     assert shuffles(resolve.bindings(g.refs, g.nodes), "norm") == 0
+
+
+def test_a_verdict_never_lists_pairs_of_references_and_definitions(g):
+    said = verdict.impact(g.bound, g.nodes, g.spark.createDataFrame([("small_ring",)], "queried string"))
+    assert shuffles(said, "candidate") == 0 and "candidate#" not in plan(said)
+
+
+def test_nearest_other_root_through_cycles_and_ties(spark):
+    roots = spark.createDataFrame([("a", "a", "y"), ("b", "b", "x"), ("c", "c", "x")], "root_id string, node_id string, label string")
+    step = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("a", "d"), ("d", "e"), ("c", "e"), ("e", "c")], "src string, dst string")
+    whole = traverse.reach(roots.select("root_id", "node_id"), step, 3).where("depth > 0").join(roots.select("root_id", "label"), "root_id").collect()
+    want = {n: min((r["depth"], r["label"]) for r in whole if r["node_id"] == n) for n in {r["node_id"] for r in whole}}
+    got = {}
+    for r in traverse.nearest(roots, step, 3).where("depth > 0 and root_id <> node_id").collect():
+        got[r["node_id"]] = min((r["depth"], r["label"]), got.get(r["node_id"], (9, "")))
+    assert got == want and len(want) == 5
+
+
+def test_only_references_that_may_be_stale_meet_their_source(g):
+    asked = g.spark.createDataFrame([("std",)], "queried string")
+    assert shuffles(traverse.stale(g.bound, g.nodes, asked), "queried") == 0
+
+
+def test_few_ends_of_a_walk_do_not_shuffle_the_links(g):
+    assert shuffles(traverse.dependents(g.bound, g.nodes, "small_ring"), "to_id") == 0
