@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from bindloom.operators import landscape, resolve, traverse, verdict
+from bindloom.operators import explain, landscape, resolve, traverse, verdict
 from bindloom.plans.catalog import Graph
 from bindloom.sources import roadmap as source
 
@@ -56,3 +57,8 @@ def test_touches_meet_subsystems_not_paths(g):
     touches = source.projected(g.spark, g.sf_dir)[2]
     said = plan(landscape.place_touches(touches, g.nodes, landscape.partition(g.nodes.select("file_path"))))
     assert "path#" not in said.replace("file_path#", "")
+
+
+def test_steps_that_share_a_pool_look_it_up_without_a_shuffle(g):
+    steps = g.bound.select(F.concat_ws("|", "to_name", "to_type", F.lit("rust")).alias("subject"))
+    assert shuffles(explain._pooled(steps, g.nodes), "subject") == 0
