@@ -62,3 +62,19 @@ def test_touches_meet_subsystems_not_paths(g):
 def test_steps_that_share_a_pool_look_it_up_without_a_shuffle(g):
     steps = g.bound.select(F.concat_ws("|", "to_name", "to_type", F.lit("rust")).alias("subject"))
     assert shuffles(explain._pooled(steps, g.nodes), "subject") == 0
+
+
+def test_the_step_that_sees_every_reference_is_compiled(g):
+    """The JVM never compiles methods of more than 8,000 bytes; they run some ten times slower."""
+    conf, own = g.spark.conf, {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {k: conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            conf.set(k, v)
+        mode = g.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        said = resolve.bindings(g.refs, g.nodes)._jdf.queryExecution().explainString(mode)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", said)]
+    assert sizes and max(sizes) < 7000
