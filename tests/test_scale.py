@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bindloom.operators import explain, landscape, resolve, traverse, verdict
+from bindloom.operators import explain, landscape, resolve, roadmap, traverse, verdict
 from bindloom.plans.catalog import Graph
 from bindloom.sources import roadmap as source
 
@@ -78,3 +78,20 @@ def test_the_step_that_sees_every_reference_is_compiled(g):
             conf.set(k, v)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", said)]
     assert sizes and max(sizes) < 7000
+
+
+def test_pairs_of_colliding_items_are_not_shuffled_and_shares_lose_none(spark, monkeypatch):
+    rows = [(f"i{k}", k, "file", "f", f"t{k * j % 5}", "RESOLVED") for k in range(40) for j in (1, 2, 3)]
+    bound = spark.createDataFrame(rows, "item_id string, ordinal long, selector string, raw string, to_id string, confidence string")
+    items = spark.createDataFrame([(f"i{k}", "done" if k % 9 == 0 else "active") for k in range(40)], "item_id string, status string")
+    at = {}
+    for item, _, _, _, to, _ in rows:
+        if int(item[1:]) % 9:
+            at.setdefault(item, set()).add(to)
+    want = {(a, b, len(at[a] & at[b])) for a in at for b in at if a < b and at[a] & at[b]}
+    whole = roadmap.collisions(items, bound)
+    assert shuffles(whole, "item_b") == 0 and {tuple(r) for r in whole.collect()} == want
+    monkeypatch.setattr("bindloom.storage.BROADCAST_BYTES", 1500)
+    monkeypatch.setattr(roadmap, "LISTED", 3)
+    shared = roadmap.collisions(items, bound)
+    assert plan(shared).count("BroadcastExchange") > 2 and sorted(map(tuple, shared.collect())) == sorted(want)
