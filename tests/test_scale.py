@@ -65,7 +65,7 @@ def test_steps_that_share_a_pool_look_it_up_without_a_shuffle(g):
 
 
 def test_the_step_that_sees_every_reference_is_compiled(g):
-    """The JVM never compiles methods of more than 8,000 bytes; they run some ten times slower."""
+    """The JVM never compiles methods of more than 8,000 bytes."""
     conf, own = g.spark.conf, {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
     before = {k: conf.get(k) for k in own}
     try:
