@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bindloom.operators import explain, landscape, resolve, roadmap, traverse, verdict
+from bindloom.operators import explain, landscape, resolve, roadmap, shapes, traverse, verdict
 from bindloom.plans.catalog import Graph
+from bindloom.sources import projection
 from bindloom.sources import roadmap as source
 
 
@@ -28,6 +29,36 @@ def test_references_look_names_up_without_a_shuffle_of_their_own(g):
     assert shuffles(resolve.bindings(g.refs, g.nodes), "norm") == 0
 
 
+def test_references_that_bind_nowhere_leave_before_they_are_shuffled(g):
+    said = plan(resolve.bindable(projection.edges(g.spark, g.sf_dir), g.nodes, g.later))
+    assert 0 < said.index("Exchange hashpartitioning(from_id") < said.index("LeftSemi")
+
+
+@pytest.mark.parametrize("nodes", ["nodes", "later"])
+def test_links_are_what_all_references_are_bound_to(g, nodes):
+    kind, here = {r["node_id"]: r["node_type"] for r in g.nodes.collect()}, getattr(g, nodes)
+    rows = resolve.bindings(g.refs, here).where("confidence = 'RESOLVED'").groupBy("from_id", "to_id", "edge_type").count().collect()
+    want = {(r["from_id"], kind[r["from_id"]], r["to_id"], kind[r["to_id"]], r["edge_type"], r["count"]) for r in rows}
+    got = g.links if nodes == "nodes" else g.later_links
+    assert want == {tuple(r) for r in got.select("from_id", "from_kind", "to_id", "to_kind", "edge_type", "k").collect()} and len(want) > 100
+
+
+def test_links_by_every_rule_outlive_the_references_that_bind_nowhere(spark):
+    made = [("a", "f", "rust", "x/1.rs", "m::f"), ("b", "f", "rust", "x/2.rs", "n::f"), ("c", "g", "rust", "x/2.rs", "n::g"), ("d", "h", "go", "x/3.go", "o::h"), ("e", "h", "go", "x/3.go", "o::h"), ("i", "use crate::n::*;", "rust", "x/4.rs", "p::use"), ("j", "k", "rust", "x/4.rs", "p::k")]
+    nodes = spark.createDataFrame([(i, n, "import" if i == "i" else "function", lang, f, 1, q) for i, n, lang, f, q in made], "node_id string, name string, node_type string, language string, file_path string, start_line int, qualified_name string")
+    named = [("a", "m::f"), ("a", "crate::n::f"), ("a", "self::super::m::f"), ("a", "f"), ("b", "f"), ("j", "f"), ("a", "g"), ("a", "x.g"), ("d", "h"), ("d", "o.h"), ("d", "g"), ("z", "g"), ("a", None)]
+    edges = spark.createDataFrame([(a, n, "function", "calls") for a, n in named], "from_id string, to_name string, to_type string, edge_type string")
+    bound = resolve.bindings(edges, nodes).where("confidence = 'RESOLVED'")
+    want = {tuple(r) for r in bound.groupBy("from_id", "to_id").count().collect()}
+    kept = resolve.bindable(edges, nodes)
+    assert want == {tuple(r) for r in resolve.links(kept, nodes).select("from_id", "to_id", "k").collect()} == {("a", "a", 3), ("a", "b", 1), ("b", "b", 1), ("j", "b", 1), ("a", "c", 1)}
+    assert not kept.where("to_name in ('h', 'o.h', 'x.g')").count()
+
+
+def test_pairs_of_neighbours_are_shuffled_once(g):
+    assert len(re.findall(r"Exchange hashpartitioning\([^\n]*\bother#", plan(shapes.fingerprints(g.nodes, g.links, g.contains)))) == 1
+
+
 def test_a_verdict_never_lists_pairs_of_references_and_definitions(g):
     said = verdict.impact(g.bound, g.nodes, g.spark.createDataFrame([("small_ring",)], "queried string"))
     assert shuffles(said, "candidate") == 0 and "candidate#" not in plan(said)
