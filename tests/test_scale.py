@@ -1,5 +1,6 @@
 """Plans that grow with their input: what is shuffled, and where pairs come to be."""
 
+import hashlib
 import re
 
 import pytest
@@ -59,6 +60,33 @@ def test_pairs_of_neighbours_are_shuffled_once(g):
     assert len(re.findall(r"Exchange hashpartitioning\([^\n]*\bother#", plan(shapes.fingerprints(g.nodes, g.links, g.contains)))) == 1
 
 
+def test_both_ends_of_a_pair_are_written_down_from_one_row_of_numbers(g):
+    said = plan(shapes.fingerprints(g.nodes, g.links, g.contains))
+    assert not re.findall(r"(?:ObjectHash|Sort)Aggregate\(keys=\[[^\]]*\bother#", said) and not re.search(r"Exchange hashpartitioning\([^\n]*\blabel#", said)
+
+
+def test_shapes_of_loops_and_of_edges_in_both_directions_are_as_defined(spark):
+    kind = {"a": "function", "b": "struct", "c": "module", "d": "function"}
+    links = [("a", "a", "calls", 2), ("a", "b", "member_of", 1), ("b", "a", "calls", 12), ("b", "a", "implements", 1), ("c", "a", "calls", 3), ("d", "b", "calls", 1), ("b", "d", "calls", 1)]
+    holds = [("c", "a"), ("c", "d"), ("c", "d")]
+    seen = {n: {} for n in kind}
+    for f, t, e, k in [*links, *((f, t, "contains", 1) for f, t in holds)]:
+        for node, other, label in [(f, t, f"{e}>"), *([(t, f, f"{e}<")] if f != t else [])]:
+            star = seen[node].setdefault((other, "self" if f == t else kind[other]), {})
+            star[label] = star.get(label, 0) + k
+    want = {}
+    for n, stars in seen.items():
+        rays = [f"{k}={';'.join(sorted(f'{x}{c}' for x, c in star.items()))}" for (_, k), star in stars.items()]
+        shape = "|".join(sorted(f"{r}={rays.count(r)}" for r in set(rays)))
+        every = [(x, c) for star in stars.values() for x, c in star.items()]
+        want[n] = (hashlib.md5(f"{kind[n]}#{shape}".encode()).hexdigest(), sum(c for _, c in every), sum(c for x, c in every if not x.startswith("contains")))
+    nodes = spark.createDataFrame([(n, k, f"q::{n}", "f") for n, k in kind.items()], "node_id string, node_type string, qualified_name string, file_path string")
+    bound = spark.createDataFrame([(f, kind[f], t, kind[t], e, k) for f, t, e, k in links], "from_id string, from_kind string, to_id string, to_kind string, edge_type string, k long")
+    contains = spark.createDataFrame([(f, t, "contains") for f, t in holds], "from_id string, to_id string, edge_type string")
+    got = {r["qualified_name"][3:]: (r["hash"], r["edge_count"], r["name_edge_count"]) for r in shapes.fingerprints(nodes, bound, contains).collect()}
+    assert got == want
+
+
 def test_a_verdict_never_lists_pairs_of_references_and_definitions(g):
     said = verdict.impact(g.bound, g.nodes, g.spark.createDataFrame([("small_ring",)], "queried string"))
     assert shuffles(said, "candidate") == 0 and "candidate#" not in plan(said)
