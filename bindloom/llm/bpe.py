@@ -53,7 +53,11 @@ class Chunks:
         coded = texts.values.dictionary_encode()
         self.offsets = texts.offsets.to_numpy()
         self.codes = coded.indices.to_numpy()
-        self.distinct: list[str] = coded.dictionary.to_pylist()
+        self.dictionary = coded.dictionary
+
+    @cached_property
+    def distinct(self) -> list[str]:
+        return self.dictionary.to_pylist()
 
     def sums(self, each: np.ndarray) -> np.ndarray:
         """For each text, the sum of a number of its chunks."""

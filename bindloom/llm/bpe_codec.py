@@ -29,6 +29,8 @@ from . import bpe, store
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space of the library's pattern.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A chunk that is one word of letters, after its blank or, with LINE, after a line end.
+_LETTERS = "[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]+$"
 #: Words in the lexicon.
 LEXICON_WORDS = 65_536
 MAGIC = b"MAFSA1\0\0"
@@ -138,7 +140,7 @@ class Codec:
         self.merges = bpe.merges(tokenizer)
         self.automaton = Automaton.load(lexicon) if lexicon else None
         self.dtype = "<u2" if self.library.get_vocab_size() <= 65_536 else "<u4"
-        self.known = bpe.Cache()
+        self.known = bpe.Cache(bpe.WORD_ENTRIES)
         back = {c: i for i, c in enumerate(bpe.SYMBOLS)}
         spelled = [b""] * self.library.get_vocab_size()
         for t, i in self.merges.vocab.items():
@@ -217,25 +219,34 @@ def codec(tokenizer: str, lexicon: str | None) -> Codec:
     return Codec(tokenizer, SparkFiles.get(lexicon) if lexicon else None)
 
 
+def counted_words(texts: pa.Array) -> list[pa.RecordBatch]:
+    """(word, n) of some texts, a word at most a few times. A chunk of letters is one word, after its blank; after a line
+    end it is one beside the line end. The words of others are cut out."""
+    split, odd = bpe.spaced_split(texts)
+    n = np.bincount(split.codes, minlength=len(split.dictionary))
+    chunks, times = split.dictionary, pa.array(n.astype(np.int64))
+    letters, led = pc.match_substring_regex(chunks, f"^{_LETTERS}"), pc.match_substring_regex(chunks, f"^{bpe.LINE}{_LETTERS}")
+    counts: Counter = Counter({"\n": pc.sum(pc.filter(times, led)).as_py() or 0})
+    rest = pc.invert(pc.or_(letters, led))
+    for c, k in zip(pc.filter(chunks, rest).to_pylist(), pc.filter(times, rest).to_pylist(), strict=True):
+        for w in WORDS.findall(bpe.standing(c)):
+            counts[w] += k
+    for k in np.flatnonzero(odd):
+        counts.update(WORDS.findall(texts[int(k)].as_py()))
+    blank, nothing = (pa.scalar(x, chunks.type) for x in (" ", ""))
+    whole = pc.binary_join_element_wise(nothing, pc.filter(chunks, letters), blank).cast(pa.string())
+    after = pc.utf8_slice_codeunits(pc.filter(chunks, led), 1).cast(pa.string())
+    some = {w: k for w, k in counts.items() if k}
+    rows = [(whole, pc.filter(times, letters)), (after, pc.filter(times, led)), (pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64()))]
+    return [pa.RecordBatch.from_arrays(list(r), names=["word", "n"]) for r in rows]
+
+
 def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(word, n) over all documents; counts are summed within each batch before the shuffle. A chunk of letters
-    is one word, after its blank; the words of others are cut out."""
+    """(word, n) over all documents; counts are summed within each batch before the shuffle."""
 
     def run(batches):
         for b in bpe.parts(batches, 0, 2 << 20):
-            split, odd = bpe.spaced_split(b.column(0))
-            n = np.bincount(split.codes, minlength=len(split.distinct))
-            chunks = pa.array(split.distinct, pa.string())
-            letters = pc.match_substring_regex(chunks, "^[A-Za-z]+$")
-            counts: Counter = Counter()
-            for i in np.flatnonzero(~letters.to_numpy(zero_copy_only=False)).tolist():
-                for w in WORDS.findall(bpe.standing(split.distinct[i])):
-                    counts[w] += int(n[i])
-            for k in np.flatnonzero(odd):
-                counts.update(WORDS.findall(b.column(0)[int(k)].as_py()))
-            words = pc.binary_join_element_wise("", pc.filter(chunks, letters), " ")
-            yield pa.RecordBatch.from_arrays([words, pc.filter(pa.array(n.astype(np.int64)), letters)], names=["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            yield from counted_words(b.column(0))
 
     return docs.select(docs[text]).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -279,8 +290,8 @@ def round_trip(docs: DataFrame, tokenizer: str, *, words: int = LEXICON_WORDS, k
             back = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.diff(at)), pa.array(each, pa.string()), pa.array(back, pa.string())], names=[*b.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        yield from map(one, bpe.parts(batches, 0, 1 << 20))
-        c.known = bpe.Cache()  # workers outlive their tasks
+        yield from map(one, bpe.parts(batches, 0, 2 << 20))
+        c.known = bpe.Cache(bpe.WORD_ENTRIES)  # workers outlive their tasks
         bpe.released()
 
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")

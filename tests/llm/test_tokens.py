@@ -115,6 +115,38 @@ def test_messy_white_space_is_the_librarys(word_bpe, byte_bpe):
         assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == encoded(path, texts)
 
 
+def test_words_of_letters_are_counted_without_being_cut(monkeypatch):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from bindloom.llm import bpe
+
+    pick, cut = random.Random(5), []
+    parts = [*ODD, "'s", " the ", "\nThe ", " \u00fcber ", "\n\u00c9t\u00e9 ", " na\u00efve", "\u0130 ", " \u01bb ", "<|endoftext|>", ". ", ", ", "\x03"]
+    texts = pa.array(["".join(pick.choice(parts) for _ in range(pick.randint(0, 50))) for _ in range(500)] + ["", None, "a", "\nb", "The \u00fcber\nthe end"])
+    split, odd = bpe.spaced_split(texts)
+    want: Counter = Counter()
+    for i in split.codes.tolist():
+        want.update(bpe_codec.WORDS.findall(bpe.standing(split.distinct[i])))
+    for k in np.flatnonzero(odd):
+        want.update(bpe_codec.WORDS.findall(texts[int(k)].as_py()))
+
+    class Cutting:
+        def findall(self, text, words=bpe_codec.WORDS):
+            cut.append(text)
+            return words.findall(text)
+
+    monkeypatch.setattr(bpe_codec, "WORDS", Cutting())
+    got: Counter = Counter()
+    for b in bpe_codec.counted_words(texts):
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got[w] += n
+    assert got == want and cut and not {" \u00fcber", "\nThe", " the", "\n\u00c9t\u00e9"} & set(cut)
+    assert all(not b.num_rows for b in bpe_codec.counted_words(pa.array([], pa.string()))[:2])
+
+
 def test_prefix_counts_and_cuts_of_long_chunks_without_blanks(word_bpe):
     import random
 
